@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash, tokens, warc
+from . import mixing, simhash, tokens, warc
 
 ORACLE = {
     "op1_warc_transactions": """
@@ -16,7 +16,7 @@ ORACLE = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (warc.op1_warc_transactions, tokens.op3_token_counts, simhash.op5_simhash_components)}
+    return {f.__name__: f for f in (warc.op1_warc_transactions, tokens.op3_token_counts, simhash.op5_simhash_components, mixing.op6_entropy_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
