@@ -24,7 +24,7 @@ def ascii_lower(col: Column) -> Column:
 
 def split_words(col: Column, blanks: str = BLANKS) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), blanks), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col, F.lit("")), blanks), "")
 
 
 def let(value: Column, body) -> Column:
