@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, simhash, tokens, warc
+from . import chat, decontaminate, line_dedup, mixing, simhash, tokens, warc
 
 ORACLE = {
     "op8_chat_snapshots": """
@@ -37,7 +37,7 @@ ORACLE = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (warc.op1_warc_transactions, tokens.op3_token_counts, simhash.op5_simhash_components, mixing.op6_entropy_mixing, chat.op8_chat_snapshots, decontaminate.op9_decontamination)}
+    return {f.__name__: f for f in (warc.op1_warc_transactions, tokens.op3_token_counts, simhash.op5_simhash_components, mixing.op6_entropy_mixing, line_dedup.op4_line_alignment, chat.op8_chat_snapshots, decontaminate.op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
