@@ -22,7 +22,7 @@ from .common import stored, table
 #: The labels have one toxicity flag and a quality flag; the chain goes from the narrower kinds to the whole.
 CATEGORIES = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
 MAX_TRAIN, FOLDS, FEATURES, THRESHOLD = 8000, 3, 2000, 0.5
-_BITS, _PREFIX, _WORDS = 18, 5, re.compile(r"\w+|!!+")
+_BITS, _PREFIX, _WORDS = 18, 5, re.compile(r"\w+")
 _KEPT_WORDS = 400_000
 
 
