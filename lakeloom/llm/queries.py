@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, mixing, simhash, subword_lm, tokens, toxicity, warc
+from . import chat, decontaminate, line_dedup, media, mixing, simhash, subword_lm, tokens, toxicity, warc
 
 ORACLE = {
     "op8_chat_snapshots": """
@@ -37,7 +37,7 @@ ORACLE = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (warc.op1_warc_transactions, toxicity.op2_toxicity_chain, tokens.op3_token_counts, simhash.op5_simhash_components, mixing.op6_entropy_mixing, line_dedup.op4_line_alignment, subword_lm.op7_lattice_scores, chat.op8_chat_snapshots, decontaminate.op9_decontamination)}
+    return {f.__name__: f for f in (warc.op1_warc_transactions, toxicity.op2_toxicity_chain, tokens.op3_token_counts, simhash.op5_simhash_components, mixing.op6_entropy_mixing, line_dedup.op4_line_alignment, subword_lm.op7_lattice_scores, chat.op8_chat_snapshots, decontaminate.op9_decontamination, media.op10_avi_clips)}
 
 
 def oracle_sql() -> dict[str, str]:
