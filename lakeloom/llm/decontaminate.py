@@ -78,7 +78,7 @@ def _starts(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFram
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", hit_share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated) for each (id, hash of text) key of docs; see per_row().
 
     A window is WINDOW consecutive words of an item, or all of a shorter item that has words. n_hit counts a document's
     words inside an occurrence of any window, n_items the items with an occurring window; items_sha256 is over their
@@ -107,10 +107,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return result.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words")))
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.withColumn("_key", F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
+
+
 def per_row(docs: DataFrame, result: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """result of contamination() with a row for each row of docs, repeated rows too."""
-    key = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    return docs.select(key.alias("key")).join(result, "key").withColumn("doc_id", F.col("key.doc_id")).drop("key")
+    rows = _keyed(docs, doc_id, text).select(F.col("_key").alias("key"))
+    return rows.join(result, "key").withColumn("doc_id", F.col("key.doc_id")).drop("key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with docs' columns."""
+    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("key").alias("_key"))
+    return _keyed(docs, doc_id, text).join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,5 +114,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return _rounded(rows.withColumn("rate", rate), cap).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken (replaced if docs has them).
+
+    Rows alike in id and text become one, with their copies added up.
+    """
+    made = ("size", "source_size", "target", "copies", "taken")
+    keyed = docs.drop(*made).withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    m = mix(keyed, doc_id="_key").groupBy(F.col("doc_id").alias("_key"), "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    return keyed.join(m.where("copies > 0"), "_key").dropDuplicates(["_key"]).drop("_key")
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
