@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, split_words, table
+from .common import ascii_lower, let, split_words, stored, table
 
 #: Everything in ASCII but digits and lower-case letters separates words (upper case is lowered before).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -89,7 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     docs = docs.select(key.alias("key"), F.col(text).alias("text"))
     windows = item_windows(benchmark)
     lengths = sorted(r[0] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect())  # 12 at most
-    found = _starts(docs, windows, lengths)
+    found = stored(_starts(docs, windows, lengths), "starts")  # read twice: cut, so that the texts are fingerprinted once
     hits = found.where(F.size("starts") > 0).select(F.col("key").alias("hit_key"), "starts")
     texts = docs.join(hits, F.col("hit_key") == F.col("key")).dropDuplicates(["key"])
     at = texts.select("key", words(F.col("text")).alias("w"), "starts")
