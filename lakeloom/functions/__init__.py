@@ -1 +1 @@
-
+"""Scalar functions with the Postgres meaning, as Column expressions."""
