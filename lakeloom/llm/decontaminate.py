@@ -50,14 +50,17 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return long.union(short).distinct()
 
 
+def _gram(w: Column, n: int):
+    return lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(n))).alias("print"), i.alias("first"), i.alias("last"), F.lit(n).alias("n"))
+
+
 def _prints(w: Column, key: Column, lengths: list[int]) -> Column:
     """A document's rows (print, first, last, n): its fingerprint runs, its n-grams for the lengths of short items, and
     one of n = 0 that holds the number of words."""
     typed = lambda r: F.struct(r["print"].alias("print"), r["first"].alias("first"), r["last"].alias("last"), F.lit(WINDOW).alias("n"))
     parts = [F.array(F.struct(F.xxhash64(key).alias("print"), F.size(w).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("n"))), F.transform(let(_minima(w), _runs), typed)]
     for n in lengths:
-        gram = lambda i, n=n: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(n))).alias("print"), i.alias("first"), i.alias("last"), F.lit(n).alias("n"))
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), gram)
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), _gram(w, n))
         parts.append(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<struct<print:bigint,first:int,last:int,n:int>>")))
     return F.concat(*parts)
 

@@ -23,7 +23,7 @@ from .common import stored, table
 CATEGORIES = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
 MAX_TRAIN, FOLDS, FEATURES, THRESHOLD = 8000, 3, 2000, 0.5
 _BITS, _PREFIX, _WORDS = 18, 5, re.compile(r"\w+")
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 200_000
 
 
 def slots(word: str) -> tuple[int, ...]:
@@ -45,8 +45,8 @@ def value(count: np.ndarray, words: int) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, val = [], []
-        for text in batch.column("text").to_pylist():
-            words, found = word_counts(text), Counter()
+        for text in batch.column("text"):
+            words, found = word_counts(text.as_py()), Counter()
             for w, n in words.items():
                 for s in slots(w):
                     found[s] += n
@@ -57,32 +57,30 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, pa.array(at, pa.binary()), pa.array(val, pa.binary())], [n for n in batch.schema.names if n != "text"] + ["slots", "vals"])
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.15, l2: float = 2e-4):
-    """Logistic regression over the FEATURES columns that tell the classes apart best: (columns, weights, dense weights, bias)."""
-    n, pos = len(y), y.sum()
-    bias = float(np.log((pos + 0.5) / (n - pos + 0.5)))
-    if not 0 < pos < n:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(dense.shape[1]), bias
-    size = 1 << _BITS
-    with_pos, with_any = np.bincount(cols, y[rows], size), np.bincount(cols, minlength=size)
-    score = np.where(with_any >= 2, np.abs(with_pos - with_any * (pos / n)) / np.sqrt(with_any + 1), 0)
+def best_slots(lists: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The FEATURES slots that tell the classes of the documents apart best, a document's slots being an array of lists."""
+    with_pos, with_any = np.zeros(1 << _BITS), np.zeros(1 << _BITS)
+    for at, label in zip(lists, y, strict=True):
+        with_any[at] += 1
+        with_pos[at] += label
+    score = np.where(with_any >= 2, np.abs(with_pos - with_any * y.mean()) / np.sqrt(with_any + 1), 0)
     chosen = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
-    chosen = chosen[score[chosen] > 0]
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    r, c, v = rows[keep], place[cols[keep]], vals[keep]
-    d = len(chosen)
-    w = np.concatenate([np.zeros(d + dense.shape[1]), [bias]])
+    return chosen[score[chosen] > 0]
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.15, l2: float = 2e-4) -> np.ndarray:
+    """Logistic regression by Adam over the whole sample: the weights of width sparse and of the dense columns, and the bias."""
+    n, pos = len(y), y.sum()
+    w = np.concatenate([np.zeros(width + dense.shape[1]), [np.log((pos + 0.5) / (n - pos + 0.5))]])
     m, s = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):  # Adam over the whole sample
-        z = np.bincount(r, v * w[c], n) + dense @ w[d:-1] + w[-1]
+    for t in range(1, steps + 1 if 0 < pos < n else 1):
+        z = np.bincount(rows, vals * w[cols], n) + dense @ w[width:-1] + w[-1]
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.concatenate([np.bincount(c, v * e[r], d), dense.T @ e, [e.sum()]])
+        g = np.concatenate([np.bincount(cols, vals * e[rows], width), dense.T @ e, [e.sum()]])
         g[:-1] += l2 * w[:-1]
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    return chosen, w[:d], w[d:-1], float(w[-1])
+    return w
 
 
 def _train_fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,17 +90,22 @@ def _train_fold(pdf: pd.DataFrame) -> pd.DataFrame:
     out = (pdf["fold"] == held).to_numpy()
     y, dense = pdf["y"].to_numpy(float), np.array(pdf["odds"].tolist(), float).reshape(len(pdf), -1)
     lists = [np.frombuffer(b, np.int32) for b in pdf["slots"]]
-    rows, cols = np.repeat(np.arange(len(pdf)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
-    vals = np.concatenate([*(np.frombuffer(b, np.float32) for b in pdf["vals"]), np.zeros(0, np.float32)]).astype(float)
-    into = np.cumsum(~out) - 1
-    use = ~out[rows]
-    chosen, w, dense_w, bias = fit(into[rows[use]], cols[use], vals[use], dense[~out], y[~out])
-    full = np.zeros(1 << _BITS)
-    full[chosen] = w
-    z = np.bincount(rows, vals * full[cols], len(pdf)) + dense @ dense_w + bias
-    model = held < 0
-    ids = pdf.loc[out, "doc_id"].tolist()
-    return pd.DataFrame([{"held": held, "doc_ids": ids, "log_odds": np.clip(z[out], -12, 12).tolist(), "slots": chosen.tolist() if model else [], "weights": w.tolist() if model else [], "chain": dense_w.tolist(), "bias": bias}])
+    chosen = best_slots([x for x, o in zip(lists, out, strict=True) if not o], y[~out]) if not out.all() else np.zeros(0, np.int64)
+    place = np.full(1 << _BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    cols, vals = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for at, b in zip(lists, pdf["vals"], strict=True):  # from here only the chosen slots
+        keep = place[at] >= 0
+        cols.append(place[at[keep]])
+        vals.append(np.frombuffer(b, np.float32)[keep])
+    rows = np.repeat(np.arange(len(pdf)), [len(x) for x in cols[1:]])
+    c, v = np.concatenate(cols), np.concatenate(vals).astype(float)
+    use, into = ~out[rows], np.cumsum(~out) - 1
+    w = fit(into[rows[use]], c[use], v[use], len(chosen), dense[~out], y[~out])
+    k = len(chosen)
+    z = np.bincount(rows, v * w[c], len(pdf)) + dense @ w[k:-1] + w[-1]
+    ids, model = pdf.loc[out, "doc_id"].tolist(), held < 0
+    return pd.DataFrame([{"held": held, "doc_ids": ids, "log_odds": np.clip(z[out], -12, 12).tolist(), "slots": chosen.tolist() if model else [], "weights": w[:k].tolist() if model else [], "chain": w[k:-1].tolist(), "bias": float(w[-1])}])
 
 
 _MODEL = "held int, doc_ids array<long>, log_odds array<double>, slots array<long>, weights array<double>, chain array<double>, bias double"
