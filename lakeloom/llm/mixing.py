@@ -49,13 +49,14 @@ def solve(histogram: DataFrame, open_sources: DataFrame, cap: float = CAP) -> Da
     state = open_sources.select("source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("miss"))
     state = stored(state, "dual")
     h = histogram.alias("h")
+    exact = lambda c: F.sum(c.cast("decimal(38,10)")).cast("double")  # noqa: E731  the same in any order, so that reruns agree
     for step in range(1, MAX_STEPS + 1):
         s = state.alias("s")
         x, tokens = F.col("h.size") / F.col("s.mean"), F.col("h.size") * F.col("h.docs")
         rate = _tilt(F.col("s.lam"), x, cap)
         sums = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source"))).groupBy(F.col("s.source").alias("source")).agg(
-            F.sum(rate * tokens).alias("got"),
-            F.sum(F.when(rate < float(cap), rate * tokens * x).otherwise(0.0)).alias("slope"),
+            exact(rate * tokens).alias("got"),
+            exact(F.when(rate < float(cap), rate * tokens * x).otherwise(0.0)).alias("slope"),
             *(F.first(f"s.{c}").alias(c) for c in ("target", "mean", "lam", "low", "high")),
         )
         over = F.col("got") > F.col("target")

@@ -233,7 +233,7 @@ def test_lattice_sums_all_cuts():
     for w, g in zip(words, got, strict=True):
         assert math.isclose(g, math.log(brute_word(w, pieces, logp, lat.other)), rel_tol=1e-9), w
     use = lat.expected([b"the", b"tt"], np.array([2.0, 1.0]), logp)
-    shift, k = 1e-5, pieces["th"]
+    shift, k = 1e-5, pieces["▁the"]
     up, down = logp.copy(), logp.copy()
     up[k] += shift
     down[k] -= shift
