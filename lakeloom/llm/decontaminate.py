@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, split_words, stored, table
+from .common import ascii_lower, let, split_words, stored, table, unused
 
 #: Everything in ASCII but digits and lower-case letters separates words (upper case is lowered before).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,8 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ids, sorted as strings and comma-joined. Contaminated: n_hit > 0 and hit_share * n_hit >= n_words. Null and
     wordless texts, an empty benchmark and repeated rows are ordinary cases (rows alike in id and text share a result).
     """
-    key = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    docs = docs.select(key.alias("key"), F.col(text).alias("text"))
+    docs = docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     windows = item_windows(benchmark)
     lengths = sorted(r[0] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect())  # 12 at most
     found = stored(_starts(docs, windows, lengths), "starts")  # read twice: cut, so that the texts are fingerprinted once
@@ -110,20 +109,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return result.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words")))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("_key", F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
+def _key(doc_id: str, text: str) -> Column:
+    """What tells documents apart: the id and a hash of the text."""
+    return F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
 def per_row(docs: DataFrame, result: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """result of contamination() with a row for each row of docs, repeated rows too."""
-    rows = _keyed(docs, doc_id, text).select(F.col("_key").alias("key"))
-    return rows.join(result, "key").withColumn("doc_id", F.col("key.doc_id")).drop("key")
+    return docs.select(_key(doc_id, text).alias("key")).join(result, "key").withColumn("doc_id", F.col("key.doc_id")).drop("key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with docs' columns."""
-    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("key").alias("_key"))
-    return _keyed(docs, doc_id, text).join(bad, "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "_key")
+    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("key").alias(key))
+    return docs.withColumn(key, _key(doc_id, text)).join(bad, key, "left_anti").select(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table
+from .common import BLANKS, ascii_lower, table, unused
 
 MIN_WORDS = 30
 
@@ -110,12 +110,13 @@ def cut_shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     found = found.where(F.aggregate("rows", F.lit(0), lambda n, r: n + r.words) >= min_words).withColumn("gone", flags("rows")).where(F.size("gone") > 0)
     cut = lambda i: F.coalesce(F.get("gone", i), F.lit(False))
     total = F.aggregate(F.filter("rows", lambda r: cut(r.place)), F.lit(0), lambda n, r: n + r.words)
-    found = found.select(F.col("doc").alias("_cut_of"), F.col("gone").alias("_gone"), F.size(F.filter("gone", lambda x: x)).alias("_lines"), total.alias("_words"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n")
+    own, of, gone, n_lines, n_words = (unused(docs, c) for c in ("_doc", "_of", "_gone", "_lines", "_words"))
+    found = found.select(F.col("doc").alias(of), F.col("gone").alias(gone), F.size(F.filter("gone", lambda x: x)).alias(n_lines), total.alias(n_words))
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False))), "\n")
     rest = [c for c in docs.columns if c not in ("lines_cut", "words_cut")]
-    joined = docs.select(*rest, key.alias("_doc")).join(found, F.col("_doc") == F.col("_cut_of"), "left")
-    new_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*(new_text.alias(c) if c == text else F.col(c) for c in rest), F.coalesce("_lines", F.lit(0)).alias("lines_cut"), F.coalesce("_words", F.lit(0)).alias("words_cut"))
+    joined = docs.select(*rest, key.alias(own)).join(found, F.col(own) == F.col(of), "left")
+    new_text = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
+    return joined.select(*(new_text.alias(c) if c == text else F.col(c) for c in rest), F.coalesce(n_lines, F.lit(0)).alias("lines_cut"), F.coalesce(n_words, F.lit(0)).alias("words_cut"))
 
 
 def op4_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

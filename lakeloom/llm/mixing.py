@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stored, table
+from .common import BLANKS, stored, table, unused
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 STEPS_PER_CUT, MAX_STEPS, TOLERANCE = 6, 60, 1e-9
@@ -121,9 +121,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows alike in id and text become one, with their copies added up.
     """
     made = ("size", "source_size", "target", "copies", "taken")
-    keyed = docs.drop(*made).withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
-    m = mix(keyed, doc_id="_key").groupBy(F.col("doc_id").alias("_key"), "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    return keyed.join(m.where("copies > 0"), "_key").dropDuplicates(["_key"]).drop("_key")
+    key = unused(docs, "_key")
+    keyed = docs.drop(*made).withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    m = mix(keyed, doc_id=key).groupBy(F.col("doc_id").alias(key), "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    return keyed.join(m.where("copies > 0"), key).dropDuplicates([key]).drop(key)
 
 
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

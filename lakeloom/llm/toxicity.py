@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 
 #: The labels have one toxicity flag and a quality flag; the chain goes from the narrower kinds to the whole.
 CATEGORIES = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
@@ -182,8 +182,9 @@ def score(docs: DataFrame, models: list[dict], names: list[str] | None = None, t
         for texts in parts:
             yield pd.Series([chain_probabilities(t, models, known) for t in texts], dtype=object)
 
-    out = docs.withColumn("_p", chain(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumns({f"p_{n}": F.col("_p")[i] for i, n in enumerate(names)}).drop("_p")
+    p = unused(docs, "_p")
+    out = docs.withColumn(p, chain(F.coalesce(F.col(text), F.lit(""))))
+    return out.withColumns({f"p_{n}": F.col(p)[i] for i, n in enumerate(names)}).drop(p)
 
 
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,16 +275,3 @@ def test_shots_stand_out():
     assert media.shots(flat) == [0] and media.shots(flat[:1]) == [0]
     drift = np.array([[100 - k, k] for k in range(100)])
     assert media.shots(drift) == [0]
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in c.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, sf).persist()
-        assert kept.columns == docs.columns and 0 < kept.count() <= before.count(), name
-    out = c.run(spark, sf)
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert {r.doc_id for r in out.collect()} <= ids and out.where("copies < 1 OR taken <> copies * size").count() == 0
