@@ -1,13 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-A line's earliest holder (smallest doc_id) stands for all its holders: each later holder is paired with it, so pairs are
-no more than shared lines, whether a line is rare or in a third of all documents. The shared lines of a pair are aligned
-as patience diff does, by the longest run of them that keeps its order in both documents; blocks of aligned lines are
-deleted from the later document.
+Documents are paired by what they share: single lines, two neighbouring lines, and the shortest runs of lines that have
+min_words words, from each line on and up to each line. Of each of these the earliest holder (smallest doc_id) stands for
+all its holders, so pairs are linear in shared lines, whether a line is rare or in a third of all documents. Every run of
+min_words words or more that an earlier document has is made of such shortest runs, so none is missed, whichever document
+has it and wherever. The shared lines of a pair are aligned as patience diff does, by the longest run of them that keeps
+its order in both documents; blocks of aligned lines are deleted from the later document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import defaultdict
 
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table, unused
+from .common import BLANKS, ascii_lower, stored, table, unused
 
 MIN_WORDS = 30
 
@@ -42,47 +45,107 @@ def in_order(matches: list[tuple[int, int]]) -> list[int]:
 def aligned(rows: list[tuple], min_words: int) -> list[int]:
     """The lines to delete of one document, from its shared lines (order, place, words, partner, partner's order).
 
-    Aligned is a line of its partner's longest ordered match, or of a moved block: neighbours in both documents that
-    have min_words words. From the first to the last aligned line of neighbouring shared lines is a block; the places
-    of blocks of min_words words or more are returned.
+    A line may have many partners, and many places in one. Aligned is a line of its partner's longest ordered match, or
+    of a moved block: neighbours in both documents that have min_words words. From the first to the last aligned line of
+    neighbouring shared lines is a block; the places of blocks of min_words words or more are returned.
     """
-    rows = sorted(rows, key=lambda r: r[0])
-    pairs, anchors = defaultdict(list), set()
-    for k, r in enumerate(rows):
-        pairs[r[3]].append(k)
+    pairs, lines, anchors = defaultdict(set), {}, set()
+    for order, place, words, partner, at in rows:
+        pairs[partner].add((order, at))
+        lines[order] = place, words
     for of in pairs.values():
-        matches = [(rows[k][0], rows[k][4]) for k in of]
-        kept = set(in_order(matches))
-        anchors.update(of[i] for i in kept)
+        matches = sorted(of, key=lambda m: (m[0], -m[1]))  # falling, so that of one line's places one at most is in order
+        anchors.update(matches[i][0] for i in in_order(matches))
         moved = []
-        for i in [*(i for i in range(len(of)) if i not in kept), None]:
-            if moved and (i is None or matches[i] != (matches[moved[-1]][0] + 1, matches[moved[-1]][1] + 1)):
-                if sum(rows[of[j]][2] for j in moved) >= min_words:
-                    anchors.update(of[j] for j in moved)
+        for m in [*sorted(of, key=lambda m: (m[1] - m[0], m[0])), None]:
+            if moved and (m is None or m != (moved[-1][0] + 1, moved[-1][1] + 1)):
+                if sum(lines[o][1] for o, _ in moved) >= min_words:
+                    anchors.update(o for o, _ in moved)
                 moved = []
-            moved.append(i)
-    out, start = [], 0
-    for k in range(1, len(rows) + 1):
-        if k == len(rows) or rows[k][0] != rows[k - 1][0] + 1:
-            ends = [j for j in range(start, k) if j in anchors]
-            if ends and sum(r[2] for r in rows[ends[0] : ends[-1] + 1]) >= min_words:
-                out += [r[1] for r in rows[ends[0] : ends[-1] + 1]]
-            start = k
+            moved.append(m)
+    out = []
+    for run in neighbours(sorted(lines)):
+        ends = [o for o in run if o in anchors]
+        block = range(ends[0], ends[-1] + 1) if ends else ()
+        if sum(lines[o][1] for o in block) >= min_words:
+            out += [lines[o][0] for o in block]
     return out
 
 
+def neighbours(orders: list[int]) -> list[list[int]]:
+    """Rising numbers, split where one is missing."""
+    out = []
+    for o in orders:
+        if out and o == out[-1][-1] + 1:
+            out[-1].append(o)
+        else:
+            out.append([o])
+    return out
+
+
+def runs_to_meet(orders: list[int], words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(first, after), places in orders: neighbouring lines, two or the fewest of min_words words from or up to a line.
+
+    A block of min_words words that two documents have is the union of such runs within it, which depend on the block
+    alone: up to a line, if the block has min_words words until there, else from the block's first line.
+    """
+    out, at = set(), 0
+    for run in neighbours(orders):
+        stop = at + len(run)
+        out.update((i, i + 2) for i in range(at, stop - 1))
+        total, j = 0, at
+        for i in range(at, stop):
+            while j < stop and total < min_words:
+                total, j = total + words[j], j + 1
+            if total >= min_words:
+                out.add((i, j))
+            total -= words[i]
+        total, i = 0, at
+        for j in range(at, stop):
+            total += words[j]
+            while total - words[i] >= min_words:
+                total, i = total - words[i], i + 1
+            if total >= min_words:
+                out.add((i, j + 1))
+        at = stop
+    return {(i, j) for i, j in out if j > i + 1}  # lines of min_words words meet as single lines
+
+
 def shared_lines(docs: DataFrame) -> DataFrame:
-    """(doc, order, place, words, partner, partner_order): each line of a document that an earlier document has too.
+    """(doc, rows): of each document the lines that others have too, as structs (order, place, words, h, id, hash, partner_order).
 
-    docs: (doc, text), doc any orderable key. Lines are alike if they are without blanks around and A-Z lowered. place
-    counts all lines of a text, order those that aren't blank.
+    docs: (doc, text), doc a struct (id, hash). Lines are alike (h) if they are without blanks around and A-Z lowered.
+    place counts all lines of a text, order those that aren't blank; rows are by order. id and hash are the line's
+    earliest holder, null in that document itself, and partner_order is the first place there.
     """
     tidy = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), F.btrim(ascii_lower(x), F.lit(" \t\x0b\f\r")).alias("line")))
     lines = docs.select("doc", F.posexplode(F.filter(tidy, lambda x: x.line != "")).alias("order", "x"))
     lines = lines.select("doc", "order", F.col("x.place").alias("place"), F.xxhash64("x.line").alias("h"), F.size(F.split("x.line", BLANKS)).alias("words")).distinct()
     first = lines.groupBy("h").agg(F.min(F.struct("doc", "order")).alias("first"), F.max("doc").alias("last"))
     first = first.where(F.col("first.doc") < F.col("last")).select("h", F.col("first.doc").alias("partner"), F.col("first.order").alias("partner_order"))
-    return lines.join(first, "h").where(F.col("partner") < F.col("doc")).drop("h")
+    of = F.when(F.col("partner") < F.col("doc"), F.col("partner"))
+    kinds = F.struct("order", "place", "words", "h", of["id"].alias("id"), of["hash"].alias("hash"), "partner_order")
+    return lines.join(first, "h").groupBy("doc").agg(F.array_sort(F.collect_list(kinds), lambda a, b: a.order - b.order).alias("rows"))
+
+
+def shared_runs(held: DataFrame, min_words: int) -> DataFrame:
+    """(doc, runs): of shared_lines(), the runs_to_meet() that an earlier document has, as structs (order, n, id, hash, partner_order)."""
+
+    @F.pandas_udf("array<struct<order:int,n:int,key:bigint>>")
+    def keys(groups: pd.Series) -> pd.Series:
+        out = []
+        for g in groups:
+            orders, h = [r["order"] for r in g], np.array([r["h"] for r in g], "<i8")
+            spans = runs_to_meet(orders, [r["words"] for r in g], min_words)
+            digest = lambda i, j: int.from_bytes(hashlib.blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True)
+            out.append([{"order": orders[i], "n": j - i, "key": digest(i, j)} for i, j in spans])
+        return pd.Series(out, dtype=object)
+
+    runs = held.select("doc", F.explode(keys("rows")).alias("x")).select("doc", "x.*")
+    first = runs.groupBy("key").agg(F.min(F.struct("doc", "order")).alias("first"), F.max("doc").alias("last"))
+    first = first.where(F.col("first.doc") < F.col("last")).select("key", F.col("first.doc").alias("partner"), F.col("first.order").alias("partner_order"))
+    met = runs.join(first, "key").where(F.col("partner") < F.col("doc"))
+    return met.groupBy("doc").agg(F.collect_list(F.struct("order", "n", F.col("partner.id").alias("id"), F.col("partner.hash").alias("hash"), "partner_order")).alias("runs"))
 
 
 def cut_shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,19 +158,23 @@ def cut_shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     """
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     named = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(key.alias("doc"), F.col(text).alias("text"))
-    kinds = F.struct("order", "place", "words", F.col("partner.id").alias("id"), F.col("partner.hash").alias("hash"), "partner_order")
 
     @F.pandas_udf("array<boolean>")
-    def flags(groups: pd.Series) -> pd.Series:
+    def flags(groups: pd.Series, met: pd.Series) -> pd.Series:
         """By place, whether the line goes; as far as the last that does."""
         out = []
-        for g in groups:
-            places = aligned([(r["order"], r["place"], r["words"], (r["id"], r["hash"]), r["partner_order"]) for r in g], min_words)
+        for g, runs in zip(groups, met, strict=True):
+            lines = {r["order"]: (r["order"], r["place"], r["words"]) for r in g}
+            rows = {(*lines[r["order"]], (r["id"], r["hash"]), r["partner_order"]) for r in g if r["hash"] is not None}
+            for r in runs if runs is not None else ():
+                rows.update((*lines[r["order"] + k], (r["id"], r["hash"]), r["partner_order"] + k) for k in range(r["n"]))
+            places = aligned(list(rows), min_words)
             out.append(np.isin(np.arange(max(places, default=-1) + 1), places).tolist())
         return pd.Series(out)
 
-    found = shared_lines(named).groupBy("doc").agg(F.collect_list(kinds).alias("rows"))
-    found = found.where(F.aggregate("rows", F.lit(0), lambda n, r: n + r.words) >= min_words).withColumn("gone", flags("rows")).where(F.size("gone") > 0)
+    held = stored(shared_lines(named), "shared-lines")
+    enough = F.aggregate("rows", F.lit(0), lambda n, r: n + F.when(r.hash.isNotNull(), r.words).otherwise(0)) >= min_words
+    found = held.where(enough).join(shared_runs(held, min_words), "doc", "left").withColumn("gone", flags("rows", "runs")).where(F.size("gone") > 0)
     cut = lambda i: F.coalesce(F.get("gone", i), F.lit(False))
     total = F.aggregate(F.filter("rows", lambda r: cut(r.place)), F.lit(0), lambda n, r: n + r.words)
     own, of, gone, n_lines, n_words = (unused(docs, c) for c in ("_doc", "_of", "_gone", "_lines", "_words"))

@@ -186,6 +186,51 @@ def test_moved_blocks_go_too(spark):
     assert got == {0: f"{one}\n{two}", 1: "x\ny"}
 
 
+def held_blocks(mine, other, min_words=30):
+    """Lines of mine (by number) in runs of min_words words that other has too, line by line in order."""
+    out = set()
+    for i in range(len(mine)):
+        for j in range(len(other)):
+            n = 0
+            while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
+                n += 1
+            if sum(len(x.split()) for x in mine[i : i + n]) >= min_words:
+                out.update(range(i, i + n))
+    return out
+
+
+def test_blocks_of_any_earlier_document_go(spark):
+    lines = [f"{LINE} {k}" for k in range(8)]
+    straight = "\n".join(lines)
+    again = "\n".join([lines[3], "own", *lines])  # a line's first place in its earliest holder isn't the block's
+    texts = ["\n".join(reversed(lines)), straight, straight, f"x\n{straight}\ny"]
+    assert {r.doc_id: r.text for r in line_dedup.cut_shared_blocks(docs(spark, texts)).collect()} == {0: texts[0], 1: straight, 2: "", 3: "x\ny"}
+    assert [r.text for r in line_dedup.cut_shared_blocks(docs(spark, [again, "\n".join(lines[2:5])])).orderBy("doc_id").collect()] == [again, ""]
+
+
+def test_blocks_against_every_earlier_document(spark):
+    r = random.Random(11)
+    pool = [" ".join([f"n{k}", *["w"] * r.choice([0, 2, 8, 11, 14, 19, 33])]) for k in range(40)]
+    listing = r.sample(pool, 40)
+    texts = [listing]
+    for k in range(90):
+        t = []
+        while len(t) < r.randint(3, 25):
+            of = r.choice(texts)
+            a = r.randrange(len(of))
+            t += r.choice([of[a : a + r.randint(1, 8)], [r.choice(pool)], [f"own {k} {len(t)}"]])
+        texts.append(t)
+    got = {x.doc_id: x.text for x in line_dedup.cut_shared_blocks(docs(spark, ["\n".join(f"{x}\t" if k % 2 else f" {x}" for x in t) for k, t in enumerate(texts)])).collect()}
+    n = 0
+    for k, t in enumerate(texts):
+        want = set().union(*(held_blocks(t, e) for e in texts[:k]))
+        kept = Counter(x.strip() for x in got[k].split("\n"))
+        may = Counter(x for i, x in enumerate(t) if i not in want)
+        assert all(kept[x] <= may[x] for x in kept if x), k
+        n += len(want)
+    assert n > 400
+
+
 def test_longest_ordered_match():
     r = random.Random(5)
     for _ in range(200):
