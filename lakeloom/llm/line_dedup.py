@@ -47,15 +47,15 @@ def aligned(rows: list[tuple], min_words: int) -> list[int]:
 
     A line may have many partners, and many places in one. Aligned is a line of its partner's longest ordered match, or
     of a moved block: neighbours in both documents that have min_words words. From the first to the last aligned line of
-    neighbouring shared lines is a block; the places of blocks of min_words words or more are returned.
+    neighbouring lines shared with one partner is a block; the places of blocks of min_words words or more are returned.
     """
-    pairs, lines, anchors = defaultdict(set), {}, set()
+    pairs, lines, gone = defaultdict(set), {}, set()
     for order, place, words, partner, at in rows:
         pairs[partner].add((order, at))
         lines[order] = place, words
     for of in pairs.values():
         matches = sorted(of, key=lambda m: (m[0], -m[1]))  # falling, so that of one line's places one at most is in order
-        anchors.update(matches[i][0] for i in in_order(matches))
+        anchors = {matches[i][0] for i in in_order(matches)}
         moved = []
         for m in [*sorted(of, key=lambda m: (m[1] - m[0], m[0])), None]:
             if moved and (m is None or m != (moved[-1][0] + 1, moved[-1][1] + 1)):
@@ -63,13 +63,12 @@ def aligned(rows: list[tuple], min_words: int) -> list[int]:
                     anchors.update(o for o, _ in moved)
                 moved = []
             moved.append(m)
-    out = []
-    for run in neighbours(sorted(lines)):
-        ends = [o for o in run if o in anchors]
-        block = range(ends[0], ends[-1] + 1) if ends else ()
-        if sum(lines[o][1] for o in block) >= min_words:
-            out += [lines[o][0] for o in block]
-    return out
+        for run in neighbours(sorted({o for o, _ in of})):
+            ends = [o for o in run if o in anchors]
+            block = range(ends[0], ends[-1] + 1) if ends else ()
+            if sum(lines[o][1] for o in block) >= min_words:
+                gone.update(block)
+    return [lines[o][0] for o in sorted(gone)]
 
 
 def neighbours(orders: list[int]) -> list[list[int]]:

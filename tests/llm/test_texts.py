@@ -231,6 +231,25 @@ def test_blocks_against_every_earlier_document(spark):
     assert n > 400
 
 
+def test_lines_of_unrelated_documents_stay(spark):
+    lines = [f"{LINE} {k}" for k in range(3)]
+    texts = [f"own {k}\n{x}\nother {k}" for k, x in enumerate(lines)] + ["\n".join(lines)]
+    assert line_dedup.cut_shared_blocks(docs(spark, texts)).where("lines_cut > 0").count() == 0
+
+
+def test_cut_lines_are_one_earlier_documents(spark):
+    r = random.Random(12)
+    pool = [" ".join([f"n{k}", *["w"] * r.choice([2, 8, 11, 14, 19])]) for k in range(150)]
+    texts = [r.sample(pool, r.randint(1, 12)) for _ in range(150)]
+    got = {x.doc_id: (x.lines_cut, x.text) for x in line_dedup.cut_shared_blocks(docs(spark, ["\n".join(t) for t in texts])).collect()}
+    for k, t in enumerate(texts):
+        may = set()
+        for e in map(set, texts[:k]):
+            for run in line_dedup.neighbours([i for i, x in enumerate(t) if x in e]):
+                may.update(run if sum(len(t[i].split()) for i in run) >= 30 else ())
+        assert {i for i, x in enumerate(t) if x not in got[k][1].split("\n")} <= may, k
+
+
 def test_longest_ordered_match():
     r = random.Random(5)
     for _ in range(200):
