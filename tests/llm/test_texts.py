@@ -102,6 +102,15 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    x, y, z = ("\n".join(f"{name} {k} of its own" for k in range(40)) for name in ("some", "others", "third"))
+    rows = [(3, x), (5, x), (5, y), (5, y), (7, z), (7, None), (8, "")]
+    for of in (rows, rows[::-1]):
+        kept = simhash.deduplicate(spark.createDataFrame(of, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(3, x), (5, y), (7, z)]
+        assert [r.doc_id for r in kept if not r.text] == [7]
+
+
 def bench_words(t):
     low = "".join(c.lower() if c.isascii() else c for c in t or "")
     return "".join(c if c.isdigit() and c.isascii() or "a" <= c <= "z" or ord(c) > 127 else " " for c in low).split(" ")
