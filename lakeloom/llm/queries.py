@@ -30,8 +30,8 @@ ORACLE = {
         WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
              g AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY ALL)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-               CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN keeper <> page_id THEN keeper END AS refers_to, url AS target_uri
+               CASE WHEN keeper IS NOT NULL AND keeper IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to, url AS target_uri
         FROM p LEFT JOIN g USING (d, n)""",
 }
 

@@ -27,8 +27,9 @@ RECORDS = (
 PRIMARY = ("response", "revisit", "resource", "conversion")
 
 
-def _record_id(role: str, page_id: Column, digest: Column) -> Column:
-    key = F.md5(F.concat_ws("|", F.lit(role), F.coalesce(page_id.cast("string"), F.lit("null")), digest))
+def _record_id(role: str, row: Column, page_id: Column, digest: Column) -> Column:
+    """row tells apart pages that are alike in everything."""
+    key = F.md5(F.concat_ws("|", F.lit(role), row.cast("string"), F.coalesce(page_id.cast("string"), F.lit("null")), digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -39,31 +40,42 @@ def _record(headers: list, block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines, length), F.lit(CRLF * 2), block)
 
 
-def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def page_records(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z"
+) -> DataFrame:
     """One row per page, its text the page's request, response or revisit, and metadata record.
 
-    Of equal payloads of min_revisit_bytes or more, the one of the largest page id is the response and the others
-    revisit it. A null payload counts as empty, a null url leaves its header out, a null id never is the largest.
-    Repeated rows give records of the same id, which the reader takes as one record. Other columns are ignored.
+    Of equal payloads of min_revisit_bytes or more, the rows of the largest page id are responses and the others revisit
+    one of them; where all ids are null, all are responses. A null payload counts as empty, a null url leaves its header
+    out, a null id never is the largest. Every row gets records of its own, whether it repeats another or not: the rows
+    are numbered, and cut (see stored()), so that a lost task can't renumber them. Other columns are ignored.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    p = pages.select(F.col(page_id).alias("page"), F.regexp_replace(F.col(url).cast("string"), r"[\r\n]", "%0A").alias("uri"), body.alias("body"), F.sha1(body.cast("binary")).alias("digest"))
-    p = p.withColumn("size", F.octet_length("body").cast("long"))
-    groups = p.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    p = p.join(groups.where("n > 1").drop("n"), ["digest", "size"], "left")
-    revisit = F.coalesce(F.col("keeper") != F.col("page"), F.col("keeper").isNotNull())
-    rid = F.when(revisit, _record_id("revisit", F.col("page"), F.col("digest"))).otherwise(_record_id("response", F.col("page"), F.col("digest")))
+    uri = F.regexp_replace(F.col(url).cast("string"), r"[\r\n]", "%0A")
+    p = pages.select(F.col(page_id).alias("page"), uri.alias("uri"), body.alias("body"), F.sha1(body.cast("binary")).alias("digest"))
+    p = p.withColumns({"size": F.octet_length("body").cast("long"), "row": F.monotonically_increasing_id()})
+    p = stored(p, "warc-pages")
+    groups = p.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size")
+    groups = groups.agg(F.max(F.struct("page", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first.page IS NOT NULL")
+    groups = stored(groups.select("digest", "size", F.col("first.page").alias("keeper"), F.col("first.row").alias("keeper_row")), "warc-repeats")
+    p = p.join(groups, ["digest", "size"], "left")  # bodies are only shuffled if the repeated digests are too many to broadcast
+    revisit = ~F.col("keeper").eqNullSafe(F.col("page")) & F.col("keeper").isNotNull()
+    own = lambda role: _record_id(role, F.col("row"), F.col("page"), F.col("digest"))
+    rid = F.when(revisit, own("revisit")).otherwise(own("response"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     uri, when, digest = line("WARC-Target-URI", F.col("uri")), f"WARC-Date: {date}", line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
+    http_type, request_type = "Content-Type: application/http; msgtype=response", "Content-Type: application/http; msgtype=request"
+    ok = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: ")
+    http = F.concat(ok, F.col("size").cast("string"), F.lit(CRLF * 2))
     request = _record(
-        ["WARC-Type: request", line("WARC-Record-ID", _record_id("request", F.col("page"), F.col("digest"))), line("WARC-Concurrent-To", rid), uri, when, "Content-Type: application/http; msgtype=request"],
+        ["WARC-Type: request", line("WARC-Record-ID", own("request")), line("WARC-Concurrent-To", rid), uri, when, request_type],
         F.concat(F.lit("GET "), F.coalesce("uri", F.lit("/")), F.lit(f" HTTP/1.1{CRLF * 2}")),
     )
-    plain = _record(["WARC-Type: response", line("WARC-Record-ID", rid), uri, when, digest, "Content-Type: application/http; msgtype=response"], F.concat(http, F.col("body")))
-    again = _record(["WARC-Type: revisit", line("WARC-Record-ID", rid), line("WARC-Refers-To", _record_id("response", F.col("keeper"), F.col("digest"))), f"WARC-Profile: {PROFILE}", uri, when, digest, "Content-Type: application/http; msgtype=response"], http)
+    plain = _record(["WARC-Type: response", line("WARC-Record-ID", rid), uri, when, digest, http_type], F.concat(http, F.col("body")))
+    refers_to = line("WARC-Refers-To", _record_id("response", F.col("keeper_row"), F.col("keeper"), F.col("digest")))
+    again = _record(["WARC-Type: revisit", line("WARC-Record-ID", rid), refers_to, f"WARC-Profile: {PROFILE}", uri, when, digest, http_type], http)
     metadata = _record(
-        ["WARC-Type: metadata", line("WARC-Record-ID", _record_id("metadata", F.col("page"), F.col("digest"))), line("WARC-Concurrent-To", rid), uri, when, "Content-Type: application/warc-fields"],
+        ["WARC-Type: metadata", line("WARC-Record-ID", own("metadata")), line("WARC-Concurrent-To", rid), uri, when, "Content-Type: application/warc-fields"],
         F.concat(F.lit("page_id: "), F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(CRLF)),
     )
     return p.select(F.concat_ws(CRLF * 2, request, F.when(revisit, again).otherwise(plain), metadata).alias("value"))
