@@ -185,6 +185,15 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file")).mapInArrow(cut, RECORDS)
 
 
+def _once(records: DataFrame) -> DataFrame:
+    """records without those whose id an earlier one has, by file and place. Only the ids are shuffled, and what repeats."""
+    repeated = records.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record_id")
+    places = records.select("record_id", "file", "ordinal").join(repeated, "record_id", "left_semi")
+    first = places.groupBy("record_id").agg(F.min(F.struct("file", "ordinal")).alias("first"))
+    later = places.join(first, "record_id").where(F.struct("file", "ordinal") != F.col("first")).select("file", "ordinal")
+    return records.join(stored(later, "warc-later"), ["file", "ordinal"], "left_anti")
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, record_type, target_uri, refers_to, request, response, metadata (an array).
 
@@ -192,38 +201,50 @@ def assemble(records: DataFrame) -> DataFrame:
     WARC-Concurrent-To or that names it, or to the capture of a record that it names; of several, to that of the
     smallest id. A capture takes its request of the smallest id and every metadata record, by id. Records without a
     capture make one of their own, with a null response. Repeated record ids count once (the first by file and place).
+    The links are found on ids alone; then one shuffle brings a capture's records together.
     """
-    names = [c for c in records.columns if c != "record_id"]
-    place = F.struct("file", "ordinal")
-    r = records.groupBy("record_id").agg(*(F.min_by(c, place).alias(c) for c in names))
-    main, rest = r.where(F.col("record_type").isin(*PRIMARY)), r.where(F.col("record_type").isin("request", "metadata"))
-    named = rest.select("record_id", F.explode("concurrent_to").alias("target")).unionByName(main.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("target")))
+    records = stored(records, "warc-records")
+    r = _once(records)
+    nested = F.struct("record_id", *(c for c in records.columns if c != "record_id"))
+    ids = r.select("record_id", "record_type", "concurrent_to")
+    main, rest = ids.where(F.col("record_type").isin(*PRIMARY)), ids.where(F.col("record_type").isin("request", "metadata"))
+    named = rest.select("record_id", F.explode("concurrent_to").alias("target"))
+    named = named.unionByName(main.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("target")))
     near = named.join(main.select(F.col("record_id").alias("target")), "target").groupBy("record_id").agg(F.min("target").alias("capture_id"))
+    near = stored(near, "warc-near")
     far = named.join(near.select(F.col("record_id").alias("target"), "capture_id"), "target").groupBy("record_id").agg(F.min("capture_id").alias("far_id"))
-    linked = rest.join(near, "record_id", "left").join(far, "record_id", "left")
-    linked = linked.withColumn("capture_id", F.coalesce("capture_id", "far_id", "record_id")).drop("far_id")
-    nested = F.struct("record_id", *names)
-    wants = linked.where("record_type = 'request'").groupBy("capture_id").agg(F.min_by(nested, F.col("record_id")).alias("request"))
-    by_id = lambda a, b: F.when(a.record_id < b.record_id, -1).when(a.record_id > b.record_id, 1).otherwise(0)
-    tells = linked.where("record_type = 'metadata'").groupBy("capture_id").agg(F.array_sort(F.collect_list(nested), by_id).alias("metadata"))
-    got = main.select(F.col("record_id").alias("capture_id"), "record_type", "target_uri", "refers_to", nested.alias("response"))
-    out = got.join(wants, "capture_id", "full").join(tells, "capture_id", "full")
-    other = F.coalesce(F.col("request.target_uri"), F.col("metadata")[0]["target_uri"])
-    return out.select("capture_id", "record_type", F.coalesce("target_uri", other).alias("target_uri"), "refers_to", "request", "response", "metadata")
+    linked = r.where(F.col("record_type").isin(*PRIMARY, "request", "metadata")).join(near, "record_id", "left").join(far, "record_id", "left")
+    is_main = F.col("record_type").isin(*PRIMARY)
+    capture = F.when(is_main, F.col("record_id")).otherwise(F.coalesce("capture_id", "far_id", "record_id"))
+    want = F.col("record_type") == "request"
+    tell = F.when(F.col("record_type") == "metadata", F.struct(F.col("record_id").alias("id"), nested.alias("of")))
+    out = linked.withColumn("capture_id", capture).groupBy("capture_id").agg(
+        F.min_by(F.when(is_main, nested), F.when(is_main, F.col("record_id"))).alias("response"),
+        F.min_by(F.when(want, nested), F.when(want, F.col("record_id"))).alias("request"),
+        F.collect_list(tell).alias("metadata"),
+    )
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    out = out.withColumn("metadata", F.transform(F.array_sort("metadata", by_id), lambda x: x["of"]))
+    out = out.withColumn("metadata", F.when(F.size("metadata") > 0, F.col("metadata")))
+    uri = F.coalesce("response.target_uri", "request.target_uri", F.get("metadata", F.lit(0))["target_uri"])
+    return out.select("capture_id", "response.record_type", uri.alias("target_uri"), "response.refers_to", "request", "response", "metadata")
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """captures with payload_bytes, payload_digest and refers_to_page, a revisit's taken from the response it refers to."""
     pages = F.transform("metadata", lambda m: F.try_element_at(m.fields, F.lit("page_id")))
     page = F.get(F.filter(pages, lambda x: x != ""), F.lit(0))
-    c = captures.withColumn("page_id", page.cast("long"))
+    c = stored(captures.withColumn("page_id", page.cast("long")), "warc-captures")
     first = c.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("refers_to_page"), F.col("response.payload_bytes").alias("full_bytes"), F.col("response.payload_digest").alias("full_digest"))
-    c = c.join(first, "refers_to", "left")
+    again, whole = c.where("refers_to IS NOT NULL").join(first, "refers_to", "left"), c.where("refers_to IS NULL")
+    c = again.unionByName(whole, allowMissingColumns=True)
     return c.withColumn("payload_bytes", F.coalesce("full_bytes", "response.payload_bytes")).withColumn("payload_digest", F.coalesce("full_digest", "response.payload_digest")).drop("full_bytes", "full_digest")
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lakeloom/warc-{uuid.uuid4().hex}"
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
-    captures = assemble(stored(read_warc(spark, path, payload=False).drop("payload"), "warc-records"))
-    return resolve_revisits(captures.where(F.col("record_type").isNotNull())).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "target_uri")
+    captures = assemble(read_warc(spark, path, payload=False).drop("payload"))
+    sizes, fields = F.struct("response.payload_bytes", "response.payload_digest"), F.transform("metadata", lambda m: F.struct(m.fields.alias("fields")))
+    captures = captures.where(F.col("record_type").isNotNull()).select("capture_id", "record_type", "target_uri", "refers_to", sizes.alias("response"), fields.alias("metadata"))
+    return resolve_revisits(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "target_uri")
