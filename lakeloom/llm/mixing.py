@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, stored, table, unused
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-STEPS_PER_CUT, MAX_STEPS, TOLERANCE = 6, 60, 1e-9
+STEPS_PER_CUT, MAX_STEPS, TOLERANCE = 6, 120, 1e-9
 #: Documents of a source that are rounded together.
 BUCKET_DOCS = 1000
 
@@ -45,7 +45,10 @@ def _tilt(lam, x, cap: float):
 
 
 def solve(histogram: DataFrame, open_sources: DataFrame, cap: float = CAP) -> DataFrame:
-    """(source, lam): the dual solution for sources with 0 < target < cap * size, from rows (source, size, docs)."""
+    """(source, lam): the dual solution for sources with 0 < target < cap * size, from rows (source, size, docs).
+
+    A RuntimeError is raised if MAX_STEPS steps leave a source further than TOLERANCE from its target.
+    """
     state = open_sources.select("source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("miss"))
     state = stored(state, "dual")
     h = histogram.alias("h")
@@ -69,9 +72,9 @@ def solve(histogram: DataFrame, open_sources: DataFrame, cap: float = CAP) -> Da
         state = sums.select("source", "target", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), miss.alias("miss"))
         if step % STEPS_PER_CUT == 0:
             state = stored(state, "dual")
-            if state.where(F.col("miss") > TOLERANCE).isEmpty():
-                break
-    return state.select("source", "lam")
+            if state.where(~(F.col("miss") <= TOLERANCE)).isEmpty():
+                return state.select("source", "lam")
+    raise RuntimeError(f"the dual isn't solved to {TOLERANCE} after {MAX_STEPS} steps")
 
 
 def _rounded(docs: DataFrame, cap: int) -> DataFrame:
@@ -118,11 +121,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, with size, source_size, target, copies and taken (replaced if docs has them).
 
-    Rows alike in id and text become one, with their copies added up.
+    Rows alike in id, text and source become one, with their copies added up; any one's other columns stay.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     key = unused(docs, "_key")
-    keyed = docs.drop(*made).withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    keyed = docs.drop(*made).withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "source"))
     m = mix(keyed, doc_id=key).groupBy(F.col("doc_id").alias(key), "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
     return keyed.join(m.where("copies > 0"), key).dropDuplicates([key]).drop(key)
 

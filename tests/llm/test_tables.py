@@ -168,6 +168,26 @@ def test_mix_meets_the_targets(spark, seed):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_one_text_in_two_sources_is_taken_from_both(spark):
+    rows = [(1, "a b c", "a"), (1, "a b c", "b"), (1, "a b c", "b"), (2, "d e", "a"), (3, None, None), (4, "f " * 9, None)] + [(10 + k, "w " * (k % 7), "ab"[k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, want = mixing.mixed_documents(df).collect(), Counter()
+    for x in mixing.mix(df).collect():
+        want[x.source] += x.taken
+    taken = Counter()
+    for x in got:
+        taken[x.source] += x.taken
+    assert taken == want and len({(x.doc_id, x.source) for x in got}) == len(got)
+
+
+def test_an_unsolved_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 6)
+    monkeypatch.setattr(mixing, "TOLERANCE", -1.0)
+    hist = spark.createDataFrame([("a", 1, 10), ("a", 9, 5)], "source string, size long, docs long")
+    with pytest.raises(RuntimeError, match="isn't solved"):
+        mixing.solve(hist, spark.createDataFrame([("a", 55, 15, 60.0)], "source string, source_size long, docs long, target double"))
+
+
 def test_newton_finds_the_dual(spark):
     hist = spark.createDataFrame([("a", k, 10 - k) for k in range(1, 9)] + [(None, 5, 4), (None, 1, 9)], "source string, size long, docs long")
     totals = {"a": sum(k * (10 - k) for k in range(1, 9)), None: 29}
