@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,9 +122,87 @@ def test_out_of_fold_odds_are_blind():
     n = 60
     y = [i % 2 for i in range(n)]
     one = lambda *s: np.array(s, np.int32).tobytes()
-    pdf = pd.DataFrame({"doc_id": range(n), "held": 0, "fold": [i % 3 for i in range(n)], "y": y, "odds": [[]] * n, "slots": [one(y[i] + 2 * (i % 3)) for i in range(n)], "vals": [np.ones(1, np.float32).tobytes()] * n})
-    z = np.array(toxicity._train_fold(pdf)["log_odds"][0])
-    assert np.abs(z).max() < 0.3
+    pdf = pd.DataFrame({"doc_id": range(n), "held": 0, "fold": [i % 3 for i in range(n)], "y": y, "probs": [[]] * n, "slots": [[y[i] + 2 * (i % 3)] for i in range(n)], "vals": [[1.0]] * n})
+    p = np.array(toxicity._train_fold(pdf)["seen"][0])
+    assert np.abs(p - 0.5).max() < 0.1
+
+
+def brute_chain(texts, flags, folds, most):
+    """The chain refitted on dense matrices, without Spark: {doc_id: text}, {doc_id: (flag a category)}, {doc_id: fold}."""
+    ids = sorted(flags)
+
+    def features(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        n = Counter(x for w in words for x in [w] + ([f"^{w[:5]}"] if len(w) > 5 else []))
+        out = defaultdict(int)
+        for x, k in n.items():
+            out[zlib.crc32(x.encode()) % 2**18] += k
+        return {s: math.log(1 + 100 * k / len(words)) for s, k in out.items()}
+
+    x = {i: features(t) for i, t in texts.items()}
+    chain_in = {i: [] for i in ids}
+    models, sigmoid = [], lambda z: 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    for k in range(len(flags[ids[0]])):
+        oof = {}
+        for held in [0, 1, 2, -1]:
+            train = [i for i in ids if folds[i] != held]
+            share = sum(flags[i][k] for i in train) / len(train)
+            n, pos = Counter(s for i in train for s in x[i]), Counter(s for i in train for s in x[i] if flags[i][k])
+            score = {s: abs(pos[s] - n[s] * share) / math.sqrt(n[s] + 1) for s in n if n[s] >= 2}
+            best = sorted([s for s in score if score[s] > 0], key=lambda s: (-score[s], s))[:most]
+            matrix = lambda some: np.array([[x[i].get(s, 0.0) for s in best] + chain_in[i] + [1.0] for i in some])  # noqa: E731, B023
+            a, y = matrix(train), np.array([float(flags[i][k]) for i in train])
+            w, m, v = np.zeros(a.shape[1]), 0, 0
+            w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+            for t in range(1, 251 if 0 < y.sum() < len(y) else 1):
+                g = a.T @ (1 / (1 + np.exp(-a @ w)) - y) / len(y) + 2e-4 * np.append(w[:-1], 0)
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+                w = w - 0.15 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            if held >= 0 and len(train) < len(ids):
+                rest = [i for i in ids if folds[i] == held]
+                oof |= dict(zip(rest, sigmoid(matrix(rest) @ w), strict=True))
+        models.append((dict(zip(best, w, strict=False)), w[len(best) : -1], w[-1]))
+        chain_in = {i: [*chain_in[i], oof[i]] for i in ids}
+    out = {}
+    for i in texts:
+        p = []
+        for words, chain, bias in models:
+            p.append(float(sigmoid(sum(words.get(s, 0) * v for s, v in x[i].items()) + sum(c * q for c, q in zip(chain, p, strict=True)) + bias)))
+        out[i] = p
+    return out
+
+
+def test_chain_against_a_refit(spark):
+    r = random.Random(21)
+    texts, labels = {}, []
+    for i in range(150):
+        w = r.choices([f"word{k}" for k in range(60)], k=r.randint(1, 40)) + ["vile"] * (i % 3 == 0) + ["rotten"] * (i % 4 == 0)
+        texts[i] = " ".join(r.sample(w, len(w)))
+        if i % 5:
+            labels.append((i, int(i % 4 == 0), int(i % 3 == 0 or i % 4 == 0)))
+    texts |= {500: None, 501: ""}
+    absent = [(10_000 + k, k % 2, 1) for k in range(4000)]  # labels of documents that aren't there take no places
+    other = [(i, "zzz " + texts[i]) for i in range(40)]  # a second text of some ids
+    lab = spark.createDataFrame(labels + absent, "doc_id long, quality long, toxic long")
+    df = spark.createDataFrame([*texts.items(), *other], "doc_id long, text string")
+    h = {r.doc_id: r for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)).alias("fold"), F.xxhash64("doc_id").alias("at")).distinct().collect()}
+    text_hash = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    of = {**texts, **{i: min((t, texts[i]), key=lambda t: text_hash[i, t]) for i, t in other}}
+    used = sorted((x for x in labels), key=lambda x: h[x[0]].at)[:100]
+    flags = {i: (int(t and not q), int(t and q), t) for i, q, t in used}
+    want = brute_chain(of, flags, {i: h[i].fold for i in of}, 25)
+    for frame in (df, df.orderBy(F.desc("text")).repartition(5)):
+        models = toxicity.train_chain(frame, lab, max_train=100, features=25)
+        got = {(x.doc_id, x.text): (x.p_toxic_junk, x.p_toxic_prose, x.p_toxic) for x in toxicity.score(df, models).collect()}
+        for i, t in of.items():
+            assert np.allclose(got[i, t], want[i], atol=1e-6), (i, got[i, t], want[i])
+    assert len({round(p[2], 3) for p in want.values()}) > 20
+
+
+def test_ids_of_any_type_are_scored(spark):
+    df = spark.createDataFrame([(f"d{k}", "bad " * (k % 2) + "word good") for k in range(40)], "doc_id string, text string")
+    models = toxicity.train_chain(df, df.select("doc_id", F.lit(0).alias("quality"), (F.col("text").startswith("bad")).cast("int").alias("toxic")))
+    assert {x.text.startswith("bad"): x.p_toxic > 0.5 for x in toxicity.score(df, models).collect()} == {True: True, False: False}
 
 
 def brute_targets(sizes):
