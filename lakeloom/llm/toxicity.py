@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories are predicted one after another; each model is a logistic regression over word densities that also gets
+The categories are predicted one after another; each model is a logistic regression over word counts that also gets
 the earlier categories' probabilities. For training these are out of fold: each row's come from models that never saw it.
 """
 
@@ -38,9 +38,9 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORDS.findall((text or "").lower()))
 
 
-def value(count: np.ndarray, words: int) -> np.ndarray:
-    """A feature's value: the logarithm of 1 and its occurrences per hundred words."""
-    return np.log1p(100.0 * count / max(words, 1))
+def value(count: np.ndarray) -> np.ndarray:
+    """A feature's value: the logarithm of 1 and its occurrences."""
+    return np.log1p(count)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w, n in words.items():
                 for s in slots(w):
                     found[s] += n
-            vals = value(np.fromiter(found.values(), np.float64, len(found)), words.total())
+            vals = value(np.fromiter(found.values(), np.float64, len(found)))
             ids = batch.column("doc_id").take(pa.array([i] * len(found), pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(list(found), pa.int32()), pa.array(vals)], ["doc_id", "slot", "val"])
 
@@ -80,7 +80,7 @@ def best_slots(features: DataFrame, sample: DataFrame, categories: int, folds: i
     return ranked.withColumn("place", place).where(F.col("place") <= most).select("category", "held", "slot")
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.15, l2: float = 2e-4) -> np.ndarray:
+def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.15, l2: float = 1e-4) -> np.ndarray:
     """Logistic regression by Adam over the whole sample: the weights of width sparse and of the dense columns, and the bias."""
     n, pos = len(y), y.sum()
     w = np.concatenate([np.zeros(width + dense.shape[1]), [np.log((pos + 0.5) / (n - pos + 0.5))]])
@@ -176,7 +176,7 @@ def chain_probabilities(text: str | None, models: list[dict], known: _Words) ->
     for w, n in words.items():
         for s in known[w]:
             found[s] += n
-    vals = dict(zip(found, value(np.fromiter(found.values(), np.float64, len(found)), words.total()).tolist(), strict=True))
+    vals = dict(zip(found, value(np.fromiter(found.values(), np.float64, len(found))).tolist(), strict=True))
     probs: list[float] = []
     for m in models:
         z = m["bias"] + sum(c * p for c, p in zip(m["chain"], probs, strict=True)) + sum(m["slots"].get(s, 0.0) * v for s, v in sorted(vals.items()))

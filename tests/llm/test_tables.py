@@ -137,7 +137,7 @@ def brute_chain(texts, flags, folds, most):
         out = defaultdict(int)
         for x, k in n.items():
             out[zlib.crc32(x.encode()) % 2**18] += k
-        return {s: math.log(1 + 100 * k / len(words)) for s, k in out.items()}
+        return {s: math.log(1 + k) for s, k in out.items()}
 
     x = {i: features(t) for i, t in texts.items()}
     chain_in = {i: [] for i in ids}
@@ -155,7 +155,7 @@ def brute_chain(texts, flags, folds, most):
             w, m, v = np.zeros(a.shape[1]), 0, 0
             w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
             for t in range(1, 251 if 0 < y.sum() < len(y) else 1):
-                g = a.T @ (1 / (1 + np.exp(-a @ w)) - y) / len(y) + 2e-4 * np.append(w[:-1], 0)
+                g = a.T @ (1 / (1 + np.exp(-a @ w)) - y) / len(y) + 1e-4 * np.append(w[:-1], 0)
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
                 w = w - 0.15 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             if held >= 0 and len(train) < len(ids):
