@@ -259,6 +259,90 @@ def test_cut_lines_are_one_earlier_documents(spark):
         assert {i for i, x in enumerate(t) if x not in got[k][1].split("\n")} <= may, k
 
 
+def patience_diff(a, b):
+    """Pairs of equal places of two lists by the textbook recursion: equal ends, then lines that both have once, then the gaps."""
+    out = []
+
+    def go(a0, a1, b0, b1):
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        x, y = Counter(a[a0:a1]), Counter(b[b0:b1])
+        place = {b[j]: j for j in range(b0, b1)}
+        once = [(i, place[a[i]]) for i in range(a0, a1) if x[a[i]] == y[a[i]] == 1]
+        best = []  # the longest chains by the last element, by comparing with all before
+        for k, (i, j) in enumerate(once):
+            before = max((best[m] for m in range(k) if once[m][1] < j), key=len, default=[])
+            best.append([*before, (i, j)])
+        chain = max(best, key=len, default=[])
+        if chain:
+            out.extend(chain)
+            for (i, j), (k, m) in itertools.pairwise([(a0 - 1, b0 - 1), *chain, (a1, b1)]):
+                go(i + 1, k, j + 1, m)
+
+    go(0, len(a), 0, len(b))
+    return out
+
+
+def cut_by_pairs(texts, min_words=30, places=False):
+    """Of each text (a list of lines), the lines that stay (or the places of those that go), by patience diff and by moved blocks against every earlier text."""
+    out = []
+    for k, t in enumerate(texts):
+        gone, words = set(), [len(x.split()) for x in t]
+        for e in texts[:k]:
+            if not set(t) & set(e):
+                continue
+            same, block = {i for i, _ in patience_diff(t, e)}, []
+            for i in [*range(len(t)), None]:
+                if i in same:
+                    block.append(i)
+                else:
+                    gone.update(block if sum(words[x] for x in block) >= min_words else ())
+                    block = []
+            gone |= held_blocks(t, e, min_words)
+        out.append(gone if places else [x for i, x in enumerate(t) if i not in gone])
+    return out
+
+
+def test_cuts_equal_patience_diff_over_all_pairs(spark):
+    r = random.Random(31)
+    texts, fresh = [], iter(range(10**6))
+    new = lambda: f"n{next(fresh)} " + "w " * r.choice([1, 4, 9, 14, 28])
+    for _ in range(25):  # families: versions of a base with lines added, removed and edited
+        base = [new() for _ in range(r.randint(3, 30))]
+        texts.append(base)
+        for _ in range(r.randint(0, 4)):
+            t = [x for x in base if r.random() < 0.8]
+            for _ in range(r.randint(0, 4)):
+                t.insert(r.randint(0, len(t)), new())
+            texts.append(t)
+    texts = [[x.strip() for x in t] for t in texts if t]
+    want = cut_by_pairs(texts)
+    got = {x.doc_id: x.text for x in line_dedup.cut_shared_blocks(docs(spark, ["\n".join(t) for t in texts])).collect()}
+    for k, t in enumerate(want):
+        assert got[k].split("\n") == (t or [""]), k
+    assert sum(len(a) - len(b) for a, b in zip(texts, want, strict=True)) > 300
+
+
+def test_patience_alignment_of_two_documents():
+    r = random.Random(32)
+    for _ in range(500):
+        a, b = ([r.choice("abcdefghij") for _ in range(r.randint(0, 12))] for _ in range(2))
+        matches = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y}
+        got = sorted(line_dedup.patience(matches, set()))
+        assert set(got) <= matches and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+        if len(set(a)) == len(a) and len(set(b)) == len(b):
+            assert len(got) == len(patience_diff(a, b))
+
+
+def test_scattered_lines_of_many_documents_stay(spark):
+    texts = [f"own {k}\n{LINE} {k}\nlast {k}" for k in range(4)] + ["\n".join(f"{LINE} {k}" for k in (2, 0, 3, 1))]
+    assert line_dedup.cut_shared_blocks(docs(spark, texts)).where("lines_cut > 0").count() == 0
+
+
 def test_longest_ordered_match():
     r = random.Random(5)
     for _ in range(200):
