@@ -299,6 +299,22 @@ def test_snapshots_collapse(spark):
     assert chat.render(chat.collapse_snapshots(df.limit(0))).count() == 0
 
 
+def test_one_conversation_may_be_everything(spark):
+    """Turns without a number, of one number, and of one number and role; long texts; the same cut short."""
+    long = "x" * 200_000
+    turns = {1: [(None, "user", f"t{k:03}") for k in range(700)], 2: [(7, "user", f"t{k:03}") for k in range(699)], 3: [(7, f"r{k % 3}", f"t{k}") for k in range(300)], 4: [(0, "user", long), (1, None, None)], 5: [(0, "user", long)]}
+    rows = [(i, *x) for i, t in turns.items() for x in t]
+    df = spark.createDataFrame(rows + rows[:100], "conv_id long, turn long, role string, text string").repartition(6)
+    h = {(x.conv_id, x.pos): (x.turns, x.h1) for x in chat.prefix_hashes(df).collect()}
+    assert len(h) == len(rows) and h[1, 700][0] == 700 and all(h[1, k][1] == h[2, k][1] for k in range(1, 700)) and h[4, 1][1] == h[5, 1][1]
+    got = {x.conv_id: x for x in chat.render(chat.collapse_snapshots(df)).collect()}
+    assert {i: x.n_turns for i, x in got.items()} == {1: 700, 3: 300, 4: 2}
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert got[3].rendered == "".join(line(r, t) for _, r, t in sorted(turns[3])) and got[4].rendered == line("user", long) + line("", "")
+    workers = chat.render(chat.collapse_snapshots(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in workers and "Arrow" not in workers
+
+
 def test_media_round_trip(spark):
     r = random.Random(10)
     raws = [None, b"", b"x", bytes(range(256)) * 3, b"\xff" * 5000, r.randbytes(64), r.randbytes(4096), r.randbytes(4097), r.randbytes(300_000), "é\n".encode() * 9000]
