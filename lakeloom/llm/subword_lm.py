@@ -2,7 +2,7 @@
 
 A text's probability is the sum over all ways to cut its words into pieces of an existing vocabulary, times the end's.
 Pieces begin no word but with the word mark, so words are independent: each distinct word is scored once, by a forward
-recursion in log space, and documents add up their words. The vocabulary's own scores (ranks) give the first piece
+recursion in log space, and documents add up their words. Long words are first cut where no piece of the vocabulary spans. The vocabulary's own scores (ranks) give the first piece
 probabilities; rounds of expected counts over the kinds of training words replace them. A word met in training is one
 more piece, with its discounted share of the training tokens; all that is discounted goes to the cuts into pieces.
 """
@@ -10,6 +10,7 @@ more piece, with its discounted share of the training tokens; all that is discou
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, table
 
 MARK, ROUNDS, HELD_OUT = "▁", 3, 2
 #: The most frequent words, looked up where the documents are; the others are joined. Words scored at once.
 NEAR_WORDS, AT_ONCE = 100_000, 40_000
+#: Characters up to which words of one length are scored together; parts that are longer are walked one by one.
+LONG = 48
 _MULTIPLIER, _HELD_WORDS = np.uint64(0x9E3779B97F4A7C15), 300_000
 
 
@@ -48,6 +52,9 @@ class Lattice:
                 table[int(h[0])] = k if n == len(codes) else table.get(int(h[0]), -1)
         self.keys = np.array(sorted(table), np.uint64)
         self.piece = np.array([table[int(k)] for k in self.keys], np.int64)
+        self.slot = {p: k for k, p in enumerate(pieces)}
+        self.begins = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        self.pairs = np.array(sorted({ord(a) << 21 | ord(b) for p in pieces for a, b in zip(p, p[1:], strict=False)}))
 
     def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | float]]:
         """(from, to, words, slots, cost) by from; codes has a row of characters for each word."""
@@ -71,28 +78,75 @@ class Lattice:
                 if not len(rows):
                     break
 
-    def by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        texts = [MARK + w.decode("utf-8", "replace") for w in words]
+    def parts(self, text: str) -> list[str]:
+        """A word's parts: itself, or if it is long what lies between the places that no piece spans."""
+        if len(text) <= LONG:
+            return [text]
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = c[:-1] << 21 | c[1:]
+        spanned = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+        ends = [*(np.nonzero(~spanned)[0] + 1).tolist(), len(text)]
+        return [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def apart(self, words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct parts of words, and for each part of each word (its word's place, its own place)."""
+        seen: dict[str, int] = {}
+        of, at = [], []
+        for k, w in enumerate(words):
+            for p in self.parts(MARK + w.decode("utf-8", "replace")):
+                of.append(k)
+                at.append(seen.setdefault(p, len(seen)))
+        return list(seen), np.array(of, np.int64), np.array(at, np.int64)
+
+    def by_length(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, rows of characters) of the texts up to LONG, those of one length at a time."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        for n in np.unique(lengths):
+        for n in np.unique(lengths[lengths <= LONG]):
             at = np.nonzero(lengths == n)[0]
             yield at, np.frombuffer("".join(texts[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
 
-    def log_probabilities(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
-        """The natural logarithm of each word's probability, over all its cuts."""
-        out = np.empty(len(words))
-        for at, codes in self.by_length(words):
-            a = np.full((codes.shape[1] + 1, len(at)), -np.inf)
+    def steps(self, text: str, i: int, logp: list[float]) -> Iterator[tuple[int, int, float]]:
+        """(to, slot, log weight) of the pieces that begin at place i of text."""
+        if text[i] not in self.slot:
+            yield i + 1, self.other, logp[self.other] - math.log(256) * len(text[i].encode("utf-8", "surrogatepass"))
+        for j in range(i + 1, len(text) + 1):
+            piece = text[i:j]
+            if piece not in self.begins:
+                return
+            if (k := self.slot.get(piece)) is not None:
+                yield j, k, logp[k]
+
+    def walk(self, text: str, logp: list[float]) -> array:
+        """The forward recursion over one text: by place, the log probability of all cuts up to there."""
+        a = array("d", [-math.inf]) * (len(text) + 1)
+        a[0] = 0.0
+        for i in range(len(text)):
+            for j, _, step in self.steps(text, i, logp):
+                x, y = a[j], a[i] + step
+                a[j] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        return a
+
+    def log_probabilities(self, words: list[bytes], logp: np.ndarray, own: np.ndarray | float = -np.inf, cuts: float = 0.0) -> np.ndarray:
+        """The natural logarithm of each word's probability, over all its cuts: own, the weight of the edge that spans the
+        whole word, and cuts, that of all ways over the vocabulary's pieces together."""
+        texts, of, at = self.apart(words)
+        lp, plain = np.empty(len(texts)), logp.tolist()
+        for rows_at, codes in self.by_length(texts):
+            a = np.full((codes.shape[1] + 1, len(rows_at)), -np.inf)
             a[0] = 0
             for i, j, rows, slots, cost in self.edges(codes):
                 a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + logp[slots] + cost)
-            out[at] = a[-1]
-        return out
+            lp[rows_at] = a[-1]
+        for k, text in enumerate(texts):
+            if len(text) > LONG:
+                lp[k] = self.walk(text, plain)[-1]
+        return np.logaddexp(own, cuts + np.bincount(of, lp[at], len(words)))
 
     def expected(self, words: list[bytes], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """How often each slot is used in counts[k] copies of words[k], weighing cuts by their probability."""
-        out = np.zeros(len(logp))
-        for at, codes in self.by_length(words):
+        texts, of, part = self.apart(words)
+        counts, out, plain = np.bincount(part, counts[of], len(texts)), np.zeros(len(logp)), logp.tolist()
+        for at, codes in self.by_length(texts):
             n, edges = codes.shape[1], list(self.edges(codes))
             a, b = np.full((n + 1, len(at)), -np.inf), np.full((n + 1, len(at)), -np.inf)
             a[0], b[n] = 0, 0
@@ -102,6 +156,15 @@ class Lattice:
                 step = logp[slots] + cost + b[j, rows]
                 b[i, rows] = np.logaddexp(b[i, rows], step)
                 out += np.bincount(slots, np.exp(a[i, rows] + step - a[n, rows]) * counts[at[rows]], len(out))
+        for k, text in enumerate(texts):
+            if len(text) > LONG:
+                a, b = self.walk(text, plain), array("d", [0.0]) * (len(text) + 1)
+                for i in range(len(text) - 1, -1, -1):
+                    ways = [(slot, step + b[j]) for j, slot, step in self.steps(text, i, plain)]
+                    top = max(w for _, w in ways)
+                    b[i] = top + math.log(sum(math.exp(w - top) for _, w in ways))
+                    for slot, w in ways:
+                        out[slot] += counts[k] * math.exp(a[i] + w - a[-1])
         return out
 
 
@@ -191,16 +254,17 @@ def score_texts(docs: DataFrame, model_file: str, rounds: int = ROUNDS, near_wor
     def score(batches):
         lat = lattice(model_file)
         for w, c in _in_lots(batches, ("word", "c")):
-            own = np.maximum(c.to_numpy() - discount, 0) / max(n, 1)
             with np.errstate(divide="ignore"):
-                lp = np.logaddexp(np.log(own), math.log(new) + lat.log_probabilities(w.to_pylist(), logp)) / math.log(10)
+                own = np.log(np.maximum(c.to_numpy() - discount, 0) / max(n, 1))
+            lp = lat.log_probabilities(w.to_pylist(), logp, own, math.log(new)) / math.log(10)
             yield pa.RecordBatch.from_arrays([w.combine_chunks(), c.combine_chunks(), pa.array(lp)], ["word", "c", "lp"])
 
     scored = stored(words.mapInArrow(score, "word binary, c long, lp double"), "scored-words")
     near = {bytes(r["word"]): (r["c"] > 0, math.log10(r["c"] + 1) - below, r["lp"]) for r in scored.orderBy(F.desc("c"), "word").limit(near_words).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(near)  # near_words entries bound it
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
-    arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("tf", pa.int64())])
+    id_field = docs.schema["doc_id"]
+    schema = f"uid long, doc_id {id_field.dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
+    arrow = pa.schema([("uid", pa.int64()), ("doc_id", to_arrow_type(id_field.dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("tf", pa.int64())])
 
     def parts(batches):
         """A row for each document with what its frequent words add, and one for each of its other words."""

@@ -398,6 +398,79 @@ def test_lattice_sums_all_cuts():
     assert math.isclose(use[k], slope, rel_tol=1e-4)  # a piece's expected use is the derivative
 
 
+def all_cuts(chars, pieces, logp, other):
+    """Every cut of chars, as (its slots, its log weight)."""
+    if not chars:
+        return [((), 0.0)]
+    out = []
+    for j in range(1, len(chars) + 1):
+        if chars[:j] in pieces:
+            k, w = pieces[chars[:j]], 0.0
+        elif j == 1:
+            k, w = other, -math.log(256) * len(chars[0].encode())
+        else:
+            continue
+        out += [((k, *slots), logp[k] + w + x) for slots, x in all_cuts(chars[j:], pieces, logp, other)]
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_whole_scores_by_brute_force(spark, rounds):
+    lat = subword_lm.lattice(MODEL)
+    texts = ["the cat", "The the dog", None, "a xé日", "cat cat nap", "", "dog, zq", "catnip the"] * 2 + ["unseen words", "thé cat"]
+    training = [subword_lm.split(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in training for w in t)
+    p = lat.prior / lat.prior.sum()
+    for _ in range(rounds):
+        use = np.full(len(p), 0.01)
+        for w in c:
+            cuts = all_cuts("▁" + w.decode(), lat.slot, np.log(p), lat.other)
+            total = sum(math.exp(x) for _, x in cuts)
+            for slots, x in cuts:
+                for k in slots:
+                    use[k] += math.exp(x) / total
+        p = use / use.sum()
+    n, ones, twos = c.total() + len(training), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+    d = min(0.9, max(0.1, ones / (ones + 2 * twos)))
+    got = scored(spark, texts, rounds=rounds)
+    for i, t in enumerate(texts):
+        want = math.log10(len(training) / n)
+        for w in subword_lm.split(t):
+            lattice = sum(math.exp(x) for _, x in all_cuts("▁" + w.decode(), lat.slot, np.log(p), lat.other))
+            want += math.log10(max(c[w] - d, 0) / n + d * len(c) / n * lattice)
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), (t, got[i].score, want)
+
+
+def test_long_words_take_seconds_and_score_alike(spark):
+    import time
+
+    lat = subword_lm.lattice(MODEL)
+    logp = np.log(lat.prior / lat.prior.sum())
+    r = random.Random(5)
+    base64 = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=200_000)).encode()
+    chinese = "".join(r.choices("日本語中文字的一是不了人我在有他这为之大来", k=200_000)).encode()
+    start = time.monotonic()
+    assert np.isfinite(lat.log_probabilities([base64, chinese], logp)).all()
+    assert lat.expected([base64, chinese], np.ones(2), logp).sum() > 100_000
+    assert time.monotonic() - start < 60
+    words = [base64[k : k + n] for k, n in ((0, 40), (9, 47), (50, 48), (99, 120))] + [b"the" * 50, chinese[:300], b"x\x00" * 40]
+    apart = [lat.log_probabilities([w], logp)[0] for w in words]
+    near = [lat.walk("▁" + w.decode(), logp.tolist())[-1] for w in words]
+    assert np.allclose(apart, near, rtol=1e-12) and np.allclose(lat.log_probabilities(words, logp), near, rtol=1e-12)
+    use = lat.expected(words, np.ones(len(words)), logp)
+    shift, k = 1e-5, lat.slot["th"]
+    up, down = logp.copy(), logp.copy()
+    up[k] += shift
+    down[k] -= shift
+    slope = (lat.log_probabilities(words, up) - lat.log_probabilities(words, down)).sum() / (2 * shift)
+    assert math.isclose(use[k], slope, rel_tol=1e-3)
+
+
+def test_ids_may_be_strings(spark):
+    df = docs(spark, ["a b", "c"]).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    assert {r.doc_id for r in subword_lm.score_texts(df, MODEL).collect()} == {"d0", "d1"}
+
+
 def scored(spark, texts, **more):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     df = docs(spark, texts).withColumns({"held_out": held, "word": F.lit(1), "uid": F.lit(2)})
