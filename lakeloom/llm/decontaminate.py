@@ -77,7 +77,7 @@ def _starts(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFram
         known = known.union(windows.where(F.col("n") == n).select(F.xxhash64(*(F.get(gram, F.lit(k)) for k in range(n))).alias("print"), "n"))
     known = known.distinct().withColumn("hit", F.lit(True))
     kept = rows.join(known, ["print", "n"], "left").where("hit OR n = 0")
-    return kept.groupBy("key").agg(F.max(F.when(F.col("n") == 0, F.col("first"))).alias("n_words"), F.collect_list(F.when(F.col("hit"), F.struct("first", "last", "n"))).alias("starts"))
+    return kept.groupBy("key").agg(F.max(F.when(F.col("n") == 0, F.col("first"))).alias("n_words"), F.collect_set(F.when(F.col("hit"), F.struct("first", "last", "n"))).alias("starts"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", hit_share: int = 20) -> DataFrame:
