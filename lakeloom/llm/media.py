@@ -1,6 +1,7 @@
 """AVI motion-JPEG media columns: bytes to AVI, and AVI to timed clips.
 
-Reading follows the RIFF index to the frames, decodes each as baseline JPEG (one or three components; the luma counts)
+Reading follows the RIFF index to the frames, decodes each as baseline JPEG (one or three components; the luma counts;
+frames without Huffman tables have the standard's)
 and cuts the film into shots where the histogram difference of neighbouring frames stands out from those around it.
 Writing keeps bytes without loss in the format's unit, the quantised coefficient: with quantisers of 1, byte b is the
 coefficient of size 8 whose extra bits are b; 64 bytes make a block, each block is a restart interval of its own.
@@ -119,9 +120,8 @@ def read_riff(media: bytes) -> dict:
     lists = [(12, len(data))]
     while lists:
         for name, a, b in _chunks(data, *lists.pop()):
-            if name == b"LIST":
-                kind = bytes(data[a : a + 4])
-                movi = a if kind == b"movi" else movi
+            if name in (b"LIST", b"RIFF"):  # long files go on in further RIFF chunks, which the index doesn't cover
+                movi = a if data[a : a + 4] == b"movi" and not movi else movi
                 lists.append((a + 4, b))
             elif name == b"strh" and media[a : a + 4] == b"vids":
                 scale, rate = struct.unpack_from("<II", data, a + 20)
@@ -142,11 +142,31 @@ def read_riff(media: bytes) -> dict:
     return out
 
 
+# The typical Huffman tables of the JPEG standard (ITU-T T.81, annex K.3), which motion-JPEG may leave out. By
+# table: the numbers of codes by length, and the symbols of the codes shorter than 16 bits; the rest follow in rising order.
+TYPICAL = {
+    0x00: ("0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: ("0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125", "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    0x11: ("0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119", "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+@lru_cache(maxsize=1)
+def typical_codes() -> dict[int, dict[tuple[int, int], int]]:
+    out = {}
+    for name, (counts, short) in TYPICAL.items():
+        symbols = bytes.fromhex(short)
+        every = sorted([0x00, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)]) if name & 0x10 else []
+        out[name] = Jpeg.table(bytes(map(int, counts.split())), symbols + bytes(x for x in every if x not in symbols))
+    return out
+
+
 class Jpeg:
     """The head of a baseline JPEG: everything before the coded data, which starts at `start`."""
 
     def __init__(self, data: bytes):
-        self.quant, self.codes, self.restart, at = {}, {}, 0, 2
+        self.quant, self.codes, self.restart, at = {}, dict(typical_codes()), 0, 2
         while True:
             while data[at + 1] == 0xFF:
                 at += 1
@@ -231,34 +251,41 @@ class Jpeg:
 
 
 def decode_frames(media: bytes, places: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(units, histograms) of AT_ONCE frames at a time: units are the size-8 extra bits of the luma coefficients."""
+    """(units, histograms) of up to AT_ONCE frames at a time, in order: units are the size-8 extra bits of the luma coefficients."""
     head, jpeg = b"\0", None
-    for at in range(0, len(places), AT_ONCE):
-        lots: list[np.ndarray] = []
-        coded, alone = [], []
-        for a, b in places[at : at + AT_ONCE]:
-            frame = media[a:b]
-            if not frame.startswith(head):
-                jpeg = Jpeg(frame)
-                head = frame[: jpeg.start]
-            end = frame.rfind(b"\xff\xd9")
-            data = frame[jpeg.start : end if end > 0 else len(frame)]
-            if jpeg.even:
-                coded.append(b"".join(re.split(rb"\xff[\xd0-\xd7]", data)))
-            else:
-                alone.append((jpeg, jpeg.luma(data)))
-        if coded:  # every coefficient takes nine bits
-            bits = np.unpackbits(np.frombuffer(b"".join(coded).replace(b"\xff\x00", b"\xff"), np.uint8)).reshape(-1, 9)
-            units = np.packbits(bits[:, 1:], axis=1).reshape(len(coded), -1, 64)
-            c = units.astype(np.float32)
-            c -= 255 * (units < 128)
-            lots.append((jpeg, units, c))
-        for j, c in alone:
-            lots.append((j, np.where(c > 0, c, c + 255).astype(np.uint8)[None], c.astype(np.float32)[None]))
-        for j, units, c in lots:
-            pixels = (c * j.quant[j.parts[0][3]]).reshape(-1, 64) @ inverse_dct() + np.float32(128)
-            bins = (np.clip(np.rint(pixels), 0, 255).astype(np.int64) * BINS // 256).reshape(len(units), -1)
-            yield units, np.bincount((bins + BINS * np.arange(len(units))[:, None]).reshape(-1), minlength=BINS * len(units)).reshape(-1, BINS)
+    lot: list[bytes] = []  # frames of one head, each coefficient of nine bits
+
+    def alike():
+        bits = np.unpackbits(np.frombuffer(b"".join(lot).replace(b"\xff\x00", b"\xff"), np.uint8)).reshape(-1, 9)
+        units = np.packbits(bits[:, 1:], axis=1).reshape(len(lot), -1, 64)
+        c = units.astype(np.float32)
+        c -= 255 * (units < 128)
+        lot.clear()
+        return units, seen(c)
+
+    def seen(c: np.ndarray) -> np.ndarray:
+        pixels = (c * jpeg.quant[jpeg.parts[0][3]]).reshape(-1, 64) @ inverse_dct() + np.float32(128)
+        bins = (np.clip(np.rint(pixels), 0, 255).astype(np.int64) * BINS // 256).reshape(len(c), -1)
+        return np.bincount((bins + BINS * np.arange(len(c))[:, None]).reshape(-1), minlength=BINS * len(c)).reshape(-1, BINS)
+
+    for a, b in places:
+        frame = media[a:b]
+        if not frame.startswith(head):
+            if lot:
+                yield alike()
+            jpeg = Jpeg(frame)
+            head = frame[: jpeg.start]
+        end = frame.rfind(b"\xff\xd9")
+        data = frame[jpeg.start : end if end > 0 else len(frame)]
+        if jpeg.even:
+            lot.append(b"".join(re.split(rb"\xff[\xd0-\xd7]", data)))
+            if len(lot) == AT_ONCE:
+                yield alike()
+        else:
+            c = jpeg.luma(data)
+            yield np.where(c > 0, c, c + 255).astype(np.uint8)[None], seen(c.astype(np.float32)[None])
+    if lot:
+        yield alike()
 
 
 def shots(histograms: np.ndarray) -> list[int]:

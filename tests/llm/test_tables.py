@@ -402,6 +402,26 @@ def test_any_baseline_jpeg_decodes(spark):
     assert (hist[0] == np.histogram(pixels, bins=media.BINS, range=(0, 256))[0]).all()
 
 
+def test_foreign_films(spark):
+    """Frames of two kinds in turn stay in order; frames of a second RIFF chunk count; typical code tables are known."""
+    one, two = bytes(range(64)) * 4, bytes(64) * 7
+    films = [media.write_avi(x) for x in (one, two)]
+    frames = [f[a:b] for f in films for a, b in media.read_riff(f)["frames"]]
+    mixed = [frames[0], frames[1], frames[0], frames[0], frames[1]]
+    whole = b"".join(mixed)
+    ends = np.cumsum([len(f) for f in mixed]).tolist()
+    units = b"".join(u.tobytes() for u, _ in media.decode_frames(whole, list(zip([0, *ends], ends, strict=False))))
+    short = lambda x: x + bytes(-len(x) % 512)
+    assert units == short(one) + short(two) + short(one) * 2 + short(two)
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + b"".join(media._chunk(b"00dc", f) for f in (frames[1], frames[0]))))
+    riff = media.read_riff(films[0] + more)
+    assert [(films[0] + more)[a:b] for a, b in riff["frames"]] == [frames[0], frames[1], frames[0]]
+    for name, codes in media.typical_codes().items():
+        assert len(codes) == len(set(codes.values())) == (162 if name & 0x10 else 12) and sum(2.0**-n for n, _ in codes) < 1
+    rows = spark.createDataFrame([(1, bytearray(films[0]))] * 3, "doc_id long, media binary")
+    assert len({r.payload_sha256 for r in media.decode_avi(rows).collect()}) == 1 and media.decode_avi(rows).count() == 3
+
+
 def test_shots_stand_out():
     flat = np.tile(np.array([100, 0, 0, 0]), (10, 1))
     other = np.tile(np.array([0, 0, 100, 0]), (5, 1))
