@@ -26,6 +26,28 @@ def update(table: DataFrame, where: Column, values: dict[str, Column]) -> DataFr
     return table.withColumns({c: F.when(hit, v.cast(table.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def update_from(table: DataFrame, changes: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """table with values set in the rows whose keys changes has; values may use changes' other columns.
+
+    changes has a row a key at most (sum requests up first), and no column of table but the keys.
+    """
+    hit = "_hit"
+    while hit in table.columns or hit in changes.columns:
+        hit += "_"
+    joined = table.join(changes.withColumn(hit, F.lit(True)), keys, "left")
+    return update(joined, F.col(hit), values).select(*table.columns)
+
+
+def delete_from(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys gone hasn't; rows of a null key stay."""
+    return table.join(gone.select(*keys), keys, "left_anti")
+
+
+def truncate(table: DataFrame) -> DataFrame:
+    """No rows of the same columns."""
+    return table.where(F.lit(False))
+
+
 def delete(table: DataFrame, where: Column) -> DataFrame:
     """The rows for which the condition isn't true."""
     return table.where(~F.coalesce(where, F.lit(False)))

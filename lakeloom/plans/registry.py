@@ -33,7 +33,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from . import ch, files, joins, relational, scalar, state, transactions  # noqa: F401  (they register themselves)
+    from . import ch, files, joins, relational, scalar, state, transactions, writes  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Query]:
