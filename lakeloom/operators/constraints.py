@@ -30,12 +30,29 @@ def nulls(table: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in columns))).alias("x")).select("x.*")
 
 
-def cascade_delete(child: DataFrame, key: str, gone: DataFrame, parent_key: str, action: str = "cascade") -> DataFrame:
-    """child after the parents gone were deleted: rows go (cascade) or their key becomes null (set null)."""
+def cascade_delete(child: DataFrame, key: str, gone: DataFrame, parent_key: str, action: str = "cascade", default: Column | None = None) -> DataFrame:
+    """child after the parents gone were deleted: rows go (cascade), their key becomes null (set null) or default (set
+    default), or nothing changes and a row that refers to one of them is an error (restrict, no action)."""
     keys = gone.select(F.col(parent_key).alias("_g")).distinct()
     if action == "cascade":
         return child.join(keys, F.col(key) == F.col("_g"), "left_anti")
-    if action != "set null":
+    if action in ("restrict", "no action"):
+        if not referenced(gone, parent_key, child, key).isEmpty():
+            raise ValueError(f"rows of the child table refer to deleted keys by {key}")
+        return child
+    if action not in ("set null", "set default"):
         raise ValueError(f"unknown action: {action}")
-    columns = [F.when(F.col("_g").isNull(), F.col(c)).alias(c) if c == key else F.col(c) for c in child.columns]
+    new = (F.lit(None) if action == "set null" or default is None else default).cast(child.schema[key].dataType)
+    columns = [F.when(F.col("_g").isNull(), F.col(c)).otherwise(new).alias(c) if c == key else F.col(c) for c in child.columns]
     return child.join(keys, F.col(key) == F.col("_g"), "left").select(*columns)
+
+
+def repeated_values(table: DataFrame, keys: list[str]) -> DataFrame:
+    """UNIQUE: keys without a null that occur more than once, with their count; keys with a null never clash."""
+    whole = table.dropna(subset=keys)
+    return whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def referenced(gone: DataFrame, parent_key: str, child: DataFrame, key: str) -> DataFrame:
+    """RESTRICT, NO ACTION: those of the parents gone that can't be deleted, since rows of child refer to them."""
+    return gone.join(child.select(F.col(key).alias("_c")), F.col(parent_key) == F.col("_c"), "left_semi")

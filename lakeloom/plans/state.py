@@ -134,6 +134,45 @@ def chk_fk_cascade(spark, sf_dir):
     return constraints.cascade_delete(load(spark, sf_dir, "supplier"), "s_nationkey", gone, "n_nationkey").select("s_suppkey")
 
 
+@query("SELECT k, count(*) AS n FROM (SELECT NULLIF(n_regionkey, 3) AS k FROM nation) t WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1")
+def chk_unique(spark, sf_dir):
+    """UNIQUE lets nulls repeat."""
+    return constraints.repeated_values(load(spark, sf_dir, "nation").select(F.nullif("n_regionkey", F.lit(3)).alias("k")), ["k"])
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3)")
+def chk_fk_restrict(spark, sf_dir):
+    """The regions that can't be deleted while some nations refer to them."""
+    few = load(spark, sf_dir, "nation").where("n_nationkey < 3")
+    return constraints.referenced(load(spark, sf_dir, "region"), "r_regionkey", few, "n_regionkey").select("r_regionkey", "r_name")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 0 ELSE n_regionkey END AS n_regionkey FROM nation")
+def chk_fk_set_default(spark, sf_dir):
+    gone = load(spark, sf_dir, "region").where("r_regionkey = 1")
+    return constraints.cascade_delete(load(spark, sf_dir, "nation"), "n_regionkey", gone, "r_regionkey", "set default", F.lit(0)).select("n_nationkey", "n_regionkey")
+
+
+@query("SELECT CASE WHEN s_nationkey = 7 THEN s_suppkey + 5000000 ELSE s_suppkey END AS s_suppkey, s_name FROM supplier")
+def dml_update_key(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return dml.update(s, F.col("s_nationkey") == 7, {"s_suppkey": F.col("s_suppkey") + 5000000}).drop("s_nationkey")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE false")
+def dml_truncate(spark, sf_dir):
+    return dml.truncate(load(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+
+
+@query("""WITH v AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 10 <> 3)
+          SELECT user_id, event_id, ts, value FROM v WHERE r = 1""")
+def version_purge(spark, sf_dir):
+    """Writes that are rolled back leave the versions before them the newest."""
+    purged = load(spark, sf_dir, "events").where("event_id % 10 = 3").select("event_id")
+    left = dml.delete_from(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), purged, ["event_id"])
+    return temporal.latest(left, ["user_id"], "ts", "event_id")
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_null, (count(*) - count({c})) / count(*) AS null_fraction, count(DISTINCT {c}) AS n_distinct FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")))
 def stats_columns(spark, sf_dir):
     return statistics.analyze(load(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"], exact=True)
@@ -166,6 +205,24 @@ def stats_sketches(spark, sf_dir):
     return statistics.sketches(load(spark, sf_dir, "lineitem"), "l_partkey")
 
 
-@query()
+@query("""SELECT l_partkey, n, true AS not_too_low, true AS near FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) t""")
+def stats_count_min_frequency(spark, sf_dir):
+    """Frequencies read from the sketch, held against the exact ones (near: within ten times eps of all rows)."""
+    lines = load(spark, sf_dir, "lineitem")
+    estimates = statistics.frequency(statistics.count_min(lines, "l_partkey"), lines, "l_partkey")
+    rows = lines.agg(F.count(F.lit(1)).alias("all_rows"))
+    both = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).join(estimates, "l_partkey").crossJoin(F.broadcast(rows))  # one row
+    return both.select("l_partkey", "n", (F.col("estimate") >= F.col("n")).alias("not_too_low"), (F.col("estimate") - F.col("n") <= 10 * statistics.CMS_EPS * F.col("all_rows")).alias("near"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) ORDER BY md5('1|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 50)
+          SELECT o_orderkey, o_custkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM s JOIN lineitem ON l_orderkey = o_orderkey""")
+def stats_join_sample(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return statistics.join_sample(o, lines, "o_orderkey", "o_orderkey", 50)
+
+
+@query("SELECT * FROM orders ORDER BY md5('1|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
 def stats_sample(spark, sf_dir):
     return statistics.sampled(load(spark, sf_dir, "orders"), "o_orderkey", 100)
