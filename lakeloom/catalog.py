@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The relational tables of a folder, one Parquet table each.
@@ -14,7 +16,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql(spark: SparkSession, sf_dir: str, text: str, args: dict | None = None) -> DataFrame:
     """text over the tables of sf_dir that it names, each a view for as long as it takes to analyse."""
-    for name in TABLES:
-        if name in text:
-            load(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text, args) if args else spark.sql(text)
+    named = [name for name in TABLES if re.search(rf"\b{name}\b", text, re.IGNORECASE)]
+    for name in named:
+        load(spark, sf_dir, name).createOrReplaceTempView(name)
+    try:
+        return spark.sql(text, args) if args else spark.sql(text)
+    finally:
+        for name in named:
+            spark.catalog.dropTempView(name)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: date_part() names that Spark's own function extracts.
 SPARK_PARTS = ("day", "doy", "hour", "minute", "month", "quarter", "week", "year")
-#: date_trunc() names that Spark truncates to.
-SPARK_TRUNCS = ("microsecond", "millisecond", "second", "minute", "hour", "day", "week", "month", "quarter", "year")
 
 
 def substr(s: Column, start: Column | int, length: Column | int) -> Column:
@@ -53,14 +51,33 @@ def date_part(part: str, ts: Column) -> Column:
 
 
 def date_trunc(part: str, ts: Column) -> Column:
-    """ts cut to the part; null for a part that isn't known.
+    """ts, a timestamp without zone, cut to the part, whatever the session's zone; null for a part that isn't known.
 
     A century and a millennium begin in the year that ends 01 of those years that end 00 to 99: 2000 goes to 2001.
     """
     years = {"decade": lambda y: y - y % 10, "century": lambda y: y - y % 100 + 1, "millennium": lambda y: y - y % 1000 + 1}
     if part in years:
         return F.make_timestamp_ntz(years[part](F.year(ts)), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    return F.date_trunc(part, ts.cast("timestamp")).cast("timestamp_ntz") if part in SPARK_TRUNCS else F.lit(None).cast("timestamp_ntz")
+    if part in ("year", "quarter", "month", "week"):
+        return F.trunc(ts.cast("date"), part).cast("timestamp_ntz")
+    if part == "day":
+        return ts.cast("date").cast("timestamp_ntz")
+    second, zero = F.date_part(F.lit("second"), ts), F.lit(0)
+    digits = {"second": 0, "millisecond": 3, "microsecond": 6}
+    times = {"hour": (F.hour(ts), zero, zero), "minute": (F.hour(ts), F.minute(ts), zero)}
+    if part in digits:
+        times[part] = F.hour(ts), F.minute(ts), F.floor(second * 10 ** digits[part]).cast("decimal(8,0)") / F.lit(10 ** digits[part]).cast("decimal(8,0)")
+    if part not in times:
+        return F.lit(None).cast("timestamp_ntz")
+    h, m, s = times[part]
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), h, m, s.cast("decimal(16,6)"))
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    days = F.unix_date(ts.cast("date")).cast("long")
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return (days * 86_400 + seconds) * 1_000_000 + (F.date_part(F.lit("second"), ts) * 1_000_000).cast("long")
 
 
 def to_date(s: Column) -> Column:

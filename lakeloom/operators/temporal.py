@@ -50,7 +50,11 @@ def last_read(versions: DataFrame, reads: DataFrame, keys: list[str], ts: str, i
 
 
 def snapshot_query(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str], str, str, str | None]], at, text: str) -> DataFrame:
-    """text, with every table (versions, keys, ts, id, deleted) a view of its rows as of at."""
+    """text, with every table (versions, keys, ts, id, deleted) a view of its rows as of at while it is analysed."""
     for name, (versions, keys, ts, id_, deleted) in tables.items():
         as_of(versions, keys, ts, id_, at, deleted).createOrReplaceTempView(name)
-    return spark.sql(text)
+    try:
+        return spark.sql(text)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)

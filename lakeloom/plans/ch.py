@@ -19,7 +19,7 @@ AMOUNT = money("l_extendedprice")
 
 sql_query("ch_q01", f"""
     SELECT l_linenumber, {money("l_quantity")} AS sum_qty, {AMOUNT} AS sum_amount,
-           {money("l_quantity")} / COUNT(*) AS avg_qty, {AMOUNT} / COUNT(*) AS avg_amount, COUNT(*) AS count_order
+           {money("l_quantity")} / COUNT(l_quantity) AS avg_qty, {AMOUNT} / COUNT(l_extendedprice) AS avg_amount, COUNT(*) AS count_order
     FROM lineitem WHERE l_shipdate > TIMESTAMP '1997-01-02 00:00:00'
     GROUP BY l_linenumber ORDER BY l_linenumber""")
 
@@ -134,11 +134,14 @@ sql_query("ch_q16", f"""
 
 sql_query("ch_q17", f"""
     SELECT {AMOUNT} / 2.0 AS avg_yearly
-    FROM lineitem JOIN (SELECT p_partkey, {money("l_quantity")} / COUNT(*) AS a FROM part JOIN lineitem ON l_partkey = p_partkey
+    FROM lineitem JOIN (SELECT p_partkey, {money("l_quantity")} / COUNT(l_quantity) AS a FROM part JOIN lineitem ON l_partkey = p_partkey
                         WHERE p_name LIKE '%bolt' GROUP BY p_partkey) t ON l_partkey = t.p_partkey
     WHERE l_quantity < t.a""")
 
 sql_query("ch_q18", f"""
+    WITH large AS (SELECT l_orderkey, {money("l_extendedprice")} AS amount, {money("l_quantity")} AS quantity FROM lineitem GROUP BY l_orderkey HAVING SUM(l_quantity) > 200)
+    SELECT c_name, c_custkey, o_orderkey, o_orderdate, amount, quantity
+    FROM large JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey ORDER BY amount DESC, o_orderkey""", f"""
     SELECT c_name, c_custkey, o_orderkey, o_orderdate, {money("l_extendedprice")} AS amount, {money("l_quantity")} AS quantity
     FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     GROUP BY c_name, c_custkey, o_orderkey, o_orderdate HAVING SUM(l_quantity) > 200 ORDER BY amount DESC, o_orderkey""")
@@ -169,6 +172,6 @@ sql_query("ch_q22", """
     SELECT substring(c_mktsegment, 1, 1) AS country, COUNT(*) AS numcust, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS totacctbal
     FROM customer
     WHERE substring(c_name, length(c_name), 1) IN ('1', '2', '3', '4', '5', '6', '7')
-      AND c_acctbal > (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) FROM customer WHERE c_acctbal > 0.00)
+      AND c_acctbal > (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(c_acctbal) FROM customer WHERE c_acctbal > 0.00)
       AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 250000)
     GROUP BY substring(c_mktsegment, 1, 1) ORDER BY country""")

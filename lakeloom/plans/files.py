@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -35,16 +36,77 @@ def read_blank_padded_tbl(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' UNION ALL VALUES (CAST(-1 AS BIGINT), 'X')")
 def ddl_create_insert_select(spark, sf_dir):
-    name = f"lakeloom_orders_{uuid.uuid4().hex}"
-    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    """A managed table in a schema of its own; the caller drops it when the rows are read (drop_made())."""
+    schema = f"lakeloom_{uuid.uuid4().hex}"
+    name = f"{schema}.orders"
+    spark.sql(f"CREATE SCHEMA {schema}")
     spark.sql(f"CREATE TABLE {name} (o_orderkey BIGINT, o_orderstatus STRING) USING parquet")
-    spark.sql(f"INSERT INTO {name} SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+    load(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus").write.insertInto(name)
     spark.sql(f"INSERT INTO {name} (o_orderkey, o_orderstatus) VALUES (-1, 'X')")
     return spark.table(name)
 
 
+def drop_made(spark) -> list[str]:
+    """Drops the schemas that ddl_create_insert_select made, with their tables and files; their names."""
+    made = [d.name for d in spark.catalog.listDatabases("lakeloom_*")]
+    for name in made:
+        spark.sql(f"DROP SCHEMA {name} CASCADE")
+    return made
+
+
+@query("SELECT n_regionkey AS n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey")
+def ddl_truncate_drop(spark, sf_dir):
+    """A table that is filled, emptied, filled again, read and dropped: what was read is cut by a collect of its few groups."""
+    schema = f"lakeloom_{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "nation")
+    spark.sql(f"CREATE SCHEMA {schema}")
+    rows.write.saveAsTable(f"{schema}.nation")
+    spark.sql(f"TRUNCATE TABLE {schema}.nation")
+    rows.where("n_nationkey < 10").write.insertInto(f"{schema}.nation")
+    counts = spark.table(f"{schema}.nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    out = spark.createDataFrame(counts.collect(), counts.schema)  # a row a region
+    spark.sql(f"DROP TABLE {schema}.nation")
+    spark.sql(f"DROP SCHEMA {schema}")
+    return out
+
+
+@query("SELECT 'spark.sql.shuffle.partitions' AS setting, '17' AS value, true AS planned")
+def session_set_and_explain(spark, sf_dir):
+    """SET and EXPLAIN: a setting as the session then has it, and a plan as text; the setting is put back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.sql(f"SET {key} = 17")
+    value = spark.conf.get(key)
+    spark.conf.set(key, before)
+    load(spark, sf_dir, "nation").createOrReplaceTempView("explained")
+    plan = spark.sql("EXPLAIN FORMATTED SELECT n_regionkey, count(*) FROM explained GROUP BY n_regionkey").first()[0]
+    spark.catalog.dropTempView("explained")
+    return spark.createDataFrame([(key, value, "HashAggregate" in plan)], "setting string, value string, planned boolean")
+
+
+@query("SELECT s_suppkey, s_name || '~;\\\"' AS s_name, s_acctbal FROM supplier")
+def copy_with_own_delimiters(spark, sf_dir):
+    """Own delimiter and quote, and backslashes as escapes; values hold all three."""
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit('~;\\"')).alias("s_name"), "s_acctbal")
+    path = _place(spark, "csv")
+    delimited.write_csv(s, path, delimiter=";", quote="~")
+    return delimited.read_csv(spark, path, s.schema, delimiter=";", quote="~", escape="\\")
+
+
+@query("SELECT p_partkey AS col1, p_type AS col2, p_retailprice AS col3 FROM part")
+def read_described_table(spark, sf_dir):
+    """A table described by JSON, its data a CSV file whose first line holds names and types."""
+    folder = _place(spark, "described")
+    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("col1"), F.col("p_type").alias("col2"), F.col("p_retailprice").alias("col3"))
+    rows.withColumnsRenamed({"col1": "col1 bigint", "col2": "col2 text", "col3": "col3 double"}).write.csv(f"{folder}/rows", header=True, escape='"')
+    described = {"table1": {"table_name": "table1", "column_names_and_types": [["col1", "BIGINT"], ["col2", "VARCHAR(20)"], ["col3", "DOUBLE"]], "primary_key_col_idx": [0], "indexes": {}, "row_data_path": "/rows"}}
+    spark.createDataFrame([(json.dumps(described),)], "value string").write.text(f"{folder}/schema")
+    return delimited.read_described(spark, f"{folder}/schema/*.txt", "table1", folder)
+
+
 @query("SELECT 'orders' AS table_name, column_name, data_type FROM (VALUES ('o_custkey', 'bigint'), ('o_orderdate', 'timestamp_ntz'), ('o_orderkey', 'bigint'), ('o_orderpriority', 'string'), ('o_orderstatus', 'string'), ('o_totalprice', 'double')) t(column_name, data_type)")
 def catalog_columns(spark, sf_dir):
-    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows = [("orders", c.name, c.dataType) for c in spark.catalog.listColumns("orders")]
+    load(spark, sf_dir, "orders").createOrReplaceTempView("listed_orders")
+    rows = [("orders", c.name, c.dataType) for c in spark.catalog.listColumns("listed_orders")]
+    spark.catalog.dropTempView("listed_orders")
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import load
+from ..functions import postgres as pg
 from .registry import query, sql_query
 
 sql_query("join_inner_hash", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
@@ -67,7 +68,7 @@ def join_band(spark, sf_dir):
 def join_range_binned(spark, sf_dir):
     from ..operators.ranges import range_join
 
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", pg.epoch_micros(F.col("ts")).alias("t"))
     near = range_join(e, e, keys=["user_id"], at="t", width=6 * 3_600_000_000)
     found = near.groupBy("event_id").agg(F.count("right_event_id").alias("near"))
     return e.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("near", F.lit(0)).alias("near"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import load
+from ..functions import postgres as pg
 from .registry import query, sql_query
 
 
 def money(x: str) -> str:
+    """The sum of x, exact and the same in any order: each value is rounded to cents before it is added."""
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
@@ -29,7 +31,8 @@ sql_query("scan_index_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_
 sql_query("scan_inequality", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'view' AND value >= 90 AND value < 95")
 
 # Aggregation.
-sql_query("agg_plain", f"SELECT COUNT(*) AS n, {money('o_totalprice')} AS total, MIN(o_totalprice) AS least, MAX(o_totalprice) AS most, {money('o_totalprice')} / COUNT(*) AS mean FROM orders")
+sql_query("agg_plain", f"SELECT COUNT(*) AS n, {money('o_totalprice')} AS total, MIN(o_totalprice) AS least, MAX(o_totalprice) AS most, {money('o_totalprice')} / COUNT(o_totalprice) AS mean FROM orders")
+sql_query("agg_avg_nulls", "SELECT l_returnflag, AVG(NULLIF(l_linenumber, 2)) AS mean, COUNT(NULLIF(l_linenumber, 2)) AS n FROM lineitem GROUP BY l_returnflag")
 sql_query("agg_plain_empty", "SELECT COUNT(*) AS n, COUNT(o_custkey) AS c, CAST(SUM(o_custkey) AS BIGINT) AS s, MIN(o_custkey) AS least, AVG(o_totalprice) AS mean FROM orders WHERE o_orderkey < 0")
 sql_query("agg_group_empty", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY o_orderstatus")
 sql_query("agg_group", f"SELECT l_returnflag, l_linestatus, COUNT(*) AS n, {money('l_quantity')} AS qty, MIN(l_shipdate) AS first_ship FROM lineitem GROUP BY l_returnflag, l_linestatus")
@@ -52,9 +55,6 @@ sql_query("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey,
 sql_query("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 sql_query("sort_expression", "SELECT c_custkey, c_acctbal FROM customer ORDER BY substring(c_mktsegment, 2, 2), abs(c_acctbal) DESC, c_custkey LIMIT 15")
 sql_query("latest_row", "SELECT event_id, user_id, event_type FROM events WHERE user_id = 5 ORDER BY ts DESC, event_id DESC LIMIT 1")
-sql_query("middle_row", """
-    SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, ROW_NUMBER() OVER (ORDER BY c_name, c_custkey) AS r, COUNT(*) OVER () AS n FROM customer WHERE c_nationkey = 3) t
-    WHERE r = CAST(FLOOR((n + 1) / 2.0) AS BIGINT)""")
 
 # Set operations over bags with duplicates and nulls.
 LEFT, RIGHT = "SELECT NULLIF(n_regionkey, 4) AS k FROM nation", "SELECT NULLIF(n_nationkey % 3, 2) AS k FROM nation WHERE n_nationkey < 8"
@@ -62,8 +62,17 @@ for _name, _op in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("in
     sql_query(_name, f"SELECT k FROM ({LEFT}) a {_op} SELECT k FROM ({RIGHT}) b")
 
 
+@query("""SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, ROW_NUMBER() OVER (ORDER BY c_name, c_custkey) AS r, COUNT(*) OVER () AS n FROM customer WHERE c_nationkey = 3) t
+              WHERE r = CAST(FLOOR((n + 1) / 2.0) AS BIGINT)""")
+def middle_row(spark, sf_dir):
+    """By a count and a place in a total order: Spark reads on through its sorted range partitions as far as the place."""
+    rows = load(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", "c_name")
+    return rows.orderBy("c_name", "c_custkey").offset(max(0, (rows.count() + 1) // 2 - 1)).limit(1)
+
+
 @query("SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey WHERE n_nationkey = 7")
 def view_create_use_drop(spark, sf_dir):
+    """Views in place of tables: made, used and dropped; a DataFrame that uses them stays good."""
     load(spark, sf_dir, "nation").where("n_nationkey = 7").createOrReplaceTempView("seventh")
     load(spark, sf_dir, "region").createOrReplaceTempView("regions")
     out = spark.sql("SELECT r_name, n_name FROM regions JOIN seventh ON r_regionkey = n_regionkey")
@@ -82,4 +91,4 @@ def prepared_params(spark, sf_dir):
 @query("SELECT event_type, date_trunc('hour', ts) AS hour_start, count(*) AS n FROM events GROUP BY ALL")
 def agg_hourly_rollup(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    return e.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour_start")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("event_type", pg.date_trunc("hour", F.col("ts")).alias("hour_start")).agg(F.count(F.lit(1)).alias("n"))

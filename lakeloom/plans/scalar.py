@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import load
+from ..catalog import load, sql
 from ..functions import postgres as pg
 from .registry import query, sql_query
 
@@ -15,7 +15,7 @@ sql_query("fn_string", """
     FROM part""")
 sql_query("fn_math", """
     SELECT c_custkey, abs(c_acctbal) AS a, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c,
-           sqrt(abs(c_acctbal)) AS root, c_custkey % 7 AS m, -c_custkey AS negative
+           sqrt(abs(c_acctbal)) AS root, c_custkey % 7 AS m, -c_custkey AS negative, CAST(round(c_acctbal / 3) AS BIGINT) AS near
     FROM customer""")
 sql_query("fn_case", """
     SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS bucket,
@@ -66,6 +66,23 @@ def fn_date_trunc(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", *(pg.date_trunc(p, F.col("o_orderdate")).alias(f"{p}_start") for p in parts))
 
 
+_FINE = ("day", "hour", "minute", "second", "millisecond", "microsecond")
+
+
+@query("SELECT event_id, " + ", ".join(f"date_trunc('{p}', ts + INTERVAL '1234567' MICROSECOND) AS {p}_start" for p in _FINE) + " FROM events")
+def fn_date_trunc_fine(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", (F.col("ts") + F.expr("INTERVAL '1.234567' SECOND")).alias("ts"))
+    return e.select("event_id", *(pg.date_trunc(p, F.col("ts")).alias(f"{p}_start") for p in _FINE))
+
+
+sql_query("fn_compare_text_number", "SELECT o_orderkey FROM orders WHERE substring(o_orderpriority, 1, 1) = 3 AND o_orderkey < 2000",
+          "SELECT o_orderkey FROM orders WHERE CAST(substring(o_orderpriority, 1, 1) AS INT) = 3 AND o_orderkey < 2000")
+sql_query("fn_identifiers_fold", "SELECT O_OrderKey AS o_orderkey, Big.N_NAME AS n_name FROM ORDERS JOIN (SELECT N_NationKey, n_name FROM Nation) BIG ON o_custkey % 25 = big.n_nationkey WHERE o_ORDERKEY < 50")
+sql_query("fn_parse_text",
+    "SELECT s, try_cast(s AS BOOLEAN) AS b, try_cast(s AS TINYINT) AS t, try_cast(s AS BIGINT) AS n, try_cast(s AS DOUBLE) AS d FROM (VALUES ('true'), ('f'), ('12'), ('-128'), ('300'), ('1.5'), ('abc'), (''), (NULL)) v(s)",
+    "SELECT s, CASE WHEN s IN ('true', 'f') THEN TRY_CAST(s AS BOOLEAN) END AS b, CASE WHEN s NOT LIKE '%.%' THEN TRY_CAST(s AS TINYINT) END AS t, CASE WHEN s NOT LIKE '%.%' THEN TRY_CAST(s AS BIGINT) END AS n, TRY_CAST(s AS DOUBLE) AS d FROM (VALUES ('true'), ('f'), ('12'), ('-128'), ('300'), ('1.5'), ('abc'), (''), (NULL)) v(s)")
+
+
 @query("""SELECT s, TRY_CAST(replace(s, '/', '-') AS DATE) AS d, CAST(TRY_CAST(replace(s, '/', '-') AS DATE) - DATE '1970-01-01' AS INT) + 2440588 AS julian
           FROM (VALUES ('2024-02-29'), ('2023-02-29'), ('1999/12/31'), ('2020-13-01'), (NULL)) t(s)""")
 def fn_date_parse(spark, sf_dir):
@@ -77,8 +94,14 @@ def fn_date_parse(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 48")
 def udf_sql_scalar(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION net_price(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN price * (1 - discount)")
-    load(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql("SELECT l_orderkey, l_linenumber, net_price(l_extendedprice, l_discount) AS net FROM lineitem WHERE l_quantity > 48")
+    return sql(spark, sf_dir, "SELECT l_orderkey, l_linenumber, net_price(l_extendedprice, l_discount) AS net FROM lineitem WHERE l_quantity > 48")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN p_retailprice * 0.5 WHEN p_size > 20 THEN p_retailprice * (1 - p_size / 100.0::DOUBLE) ELSE p_retailprice END AS price FROM part""")
+def udf_sql_branches(spark, sf_dir):
+    """IF, ELSIF and ELSE over arguments."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cut_price(price DOUBLE, size INT) RETURNS DOUBLE RETURN CASE WHEN size > 40 THEN price * 0.5D WHEN size > 20 THEN price * (1 - size / 100.0D) ELSE price END")
+    return sql(spark, sf_dir, "SELECT p_partkey, cut_price(p_retailprice, p_size) AS price FROM part")
 
 
 @query("""SELECT p_partkey, CAST(f AS BIGINT) AS factorial FROM part JOIN (SELECT n, CAST(factorial(CAST(n AS INT)) AS BIGINT) AS f FROM (SELECT unnest(range(0, 11)) AS n)) t ON n = p_size % 11""")

@@ -129,3 +129,81 @@ def test_streams(spark, sf, tmp_path):
     streams.latest_versions(stream, ["user_id"], "ts", "event_id", out, str(tmp_path / "ck")).awaitTermination(120)
     got = temporal.latest(spark.read.parquet(out), ["user_id"], "ts", "event_id").select("user_id", "event_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, temporal.latest(table, ["user_id"], "ts", "event_id").select("user_id", "event_id").collect()))
+
+
+def test_errors_are_raised(spark):
+    """Division by zero, overflow, casts out of range, text that is no number."""
+    for text in ("SELECT 1 div (id - id) FROM range(1)", "SELECT id % (id - id) FROM range(1)", "SELECT CAST(9223372036854775807 AS BIGINT) + id FROM range(1, 2)", "SELECT CAST(id + 300 AS TINYINT) FROM range(1)",
+                 "SELECT CAST(concat('x', id) AS INT) FROM range(1)", "SELECT CAST(2147483647 AS INT) * CAST(id + 2 AS INT) FROM range(1)", "SELECT id FROM range(1) WHERE concat('x', id) = 3"):
+        with pytest.raises(Exception, match="DIVIDE_BY_ZERO|REMAINDER_BY_ZERO|ARITHMETIC_OVERFLOW|CAST_OVERFLOW|CAST_INVALID_INPUT"):
+            spark.sql(text).collect()
+    assert spark.sql("SELECT try_cast('x1' AS INT) AS a, try_divide(1, 0) AS b").first()[:] == (None, None)
+
+
+def test_foreign_keys_refuse(spark):
+    parents, children = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 10), (None, 11)], "k int, v int")
+    for action in ("restrict", "no action"):
+        with pytest.raises(ValueError, match="refer"):
+            constraints.cascade_delete(children, "k", parents.where("k = 1"), "k", action)
+        assert constraints.cascade_delete(children, "k", parents.where("k = 2"), "k", action).count() == 2
+    assert {r.v: r.k for r in constraints.cascade_delete(children, "k", parents, "k", "set default").collect()} == {10: None, 11: None}
+    nulls = spark.createDataFrame([(1, None), (1, None), (2, 3), (2, 3)], "a int, b int")
+    assert [tuple(r) for r in constraints.repeated_values(nulls, ["a", "b"]).collect()] == [(2, 3, 2)] and constraints.duplicate_keys(nulls, ["a", "b"]).count() == 2
+
+
+def test_updates_from_another_table(spark):
+    t = spark.createDataFrame([(1, 5), (2, 6), (None, 7)], "k int, v int")
+    c = spark.createDataFrame([(1, 10), (9, 1)], "k int, add int")
+    assert {r.k: r.v for r in dml.update_from(t, c, ["k"], {"v": F.col("v") + F.col("add")}).collect()} == {1: 15, 2: 6, None: 7}
+    assert {r.k for r in dml.delete_from(t, c, ["k"]).collect()} == {2, None} and dml.truncate(t).count() == 0
+
+
+def test_stock_refills_alike_in_any_order(spark):
+    """The closed form of the refill rule against the rule itself."""
+    r = random.Random(4)
+    for _ in range(300):
+        start, taken = r.randint(10, 100), [r.randint(1, 50) for _ in range(r.randint(0, 12))]
+        s = start
+        for x in taken:
+            s = s - x if s - x >= 10 else s - x + 91
+        assert s == 10 + (start - sum(taken) - 10) % 91
+
+
+def test_timestamps_need_no_zone(spark):
+    """Hours that a zone skips stay, whatever the session's zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    t = spark.createDataFrame([(datetime.datetime(2024, 3, 10, 2, 30, 15, 123456),)], "t timestamp_ntz")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = t.select(*(pg.date_trunc(p, F.col("t")).alias(p) for p in ("day", "hour", "minute", "second", "millisecond", "microsecond", "week", "year")), pg.epoch_micros(F.col("t")).alias("us")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    d = datetime.datetime
+    assert got[:] == (d(2024, 3, 10), d(2024, 3, 10, 2), d(2024, 3, 10, 2, 30), d(2024, 3, 10, 2, 30, 15), d(2024, 3, 10, 2, 30, 15, 123000), d(2024, 3, 10, 2, 30, 15, 123456), d(2024, 3, 4), d(2024, 1, 1), 1710037815123456)
+
+
+def test_views_and_schemas_go(spark, sf):
+    from lakeloom.catalog import sql
+    from lakeloom.plans import files, registry
+
+    assert sql(spark, sf, "SELECT l_partkey FROM lineitem WHERE l_partkey < 0").count() == 0
+    registry.queries()["asof_snapshot_agg"](spark, sf).count()
+    assert registry.queries()["ddl_create_insert_select"](spark, sf).count() > 0
+    assert not {t.name for t in spark.catalog.listTables()} & {"part", "lineitem", "users_now", "orders"}
+    assert files.drop_made(spark) and not spark.catalog.listDatabases("lakeloom_*")
+
+
+def test_large_joins_may_use_bloom_filters(spark, tmp_path):
+    """A selective side's keys filter the other side's scan before the shuffle."""
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    spark.range(200_000).withColumn("k", F.col("id") % 5000).write.parquet(str(tmp_path / "big"))
+    spark.range(5000).withColumn("name", F.concat(F.lit("n"), "id")).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "small"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.read.parquet(str(tmp_path / "big")).join(spark.read.parquet(str(tmp_path / "small")).where("name = 'n77'"), "k")
+        assert df.count() == 40 and "might_contain" in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
