@@ -125,7 +125,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     made = ("size", "source_size", "target", "copies", "taken")
     key = unused(docs, "_key")
-    keyed = docs.drop(*made).withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "source"))
+    keyed = docs.drop(*made).withColumn(key, F.struct(F.col("doc_id").alias("id"), F.nullif(F.xxhash64("text"), F.lit(0)).alias("hash"), "source"))  # nullable as it is read back: one shuffle serves the join and the grouping
     m = mix(keyed, doc_id=key).groupBy(F.col("doc_id").alias(key), "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
     return keyed.join(m.where("copies > 0"), key).dropDuplicates([key]).drop(key)
 
