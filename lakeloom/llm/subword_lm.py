@@ -2,9 +2,10 @@
 
 A text's probability is the sum over all ways to cut its words into pieces of an existing vocabulary, times the end's.
 Pieces begin no word but with the word mark, so words are independent: each distinct word is scored once, by a forward
-recursion in log space, and documents add up their words. Long words are first cut where no piece of the vocabulary spans. The vocabulary's own scores (ranks) give the first piece
-probabilities; rounds of expected counts over the kinds of training words replace them. A word met in training is one
-more piece, with its discounted share of the training tokens; all that is discounted goes to the cuts into pieces.
+recursion in log space, and documents add up their words. Long words are first cut where no piece of the vocabulary
+spans. The vocabulary's own scores (ranks) give the first piece probabilities; rounds of expected counts over the kinds
+of training words replace them. A word met in training is one more piece, with its discounted share of the training
+tokens; all that is discounted goes to the cuts into pieces.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ NEAR_WORDS, AT_ONCE = 100_000, 40_000
 #: Characters up to which words of one length are scored together; parts that are longer are walked one by one.
 LONG = 48
 _MULTIPLIER, _HELD_WORDS = np.uint64(0x9E3779B97F4A7C15), 300_000
+#: Hashes of pieces are looked up by their upper bits first.
+_BUCKET_BITS = 20
+_SHIFT = np.uint64(64 - _BUCKET_BITS)
 
 
 class Lattice:
@@ -52,10 +56,26 @@ class Lattice:
                 table[int(h[0])] = k if n == len(codes) else table.get(int(h[0]), -1)
         self.keys = np.array(sorted(table), np.uint64)
         self.piece = np.array([table[int(k)] for k in self.keys], np.int64)
+        starts = np.searchsorted(self.keys, np.arange(1 << _BUCKET_BITS, dtype=np.uint64) << _SHIFT)
+        self.starts = starts.astype(np.int32)
         self.slot = {p: k for k, p in enumerate(pieces)}
         self.begins = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
         self.pairs = np.array(sorted({ord(a) << 21 | ord(b) for p in pieces for a, b in zip(p, p[1:], strict=False)}))
 
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, k): whether each h is a key, and if so which; the keys of one bucket share their upper bits."""
+        last = len(self.keys) - 1
+        k = np.minimum(self.starts[h >> _SHIFT], last)
+        hit = self.keys[k] == h
+        rest = np.nonzero(self.keys[k] < h)[0]
+        while len(rest):  # keys rise, and most buckets have one or none
+            rest = rest[k[rest] < last]
+            k[rest] += 1
+            key = self.keys[k[rest]]
+            hit[rest[key == h[rest]]] = True
+            rest = rest[key < h[rest]]
+        return hit, k
+
     def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | float]]:
         """(from, to, words, slots, cost) by from; codes has a row of characters for each word."""
         count, n = codes.shape
@@ -64,8 +84,7 @@ class Lattice:
             rows, h = np.arange(count), np.zeros(count, np.uint64)
             for j in range(i + 1, n + 1):
                 h = (h + wide[rows, j - 1]) * _MULTIPLIER
-                k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[k] == h
+                hit, k = self.places(h)
                 slots = np.where(hit, self.piece[k], -1)
                 whole = slots >= 0
                 if j == i + 1 and not whole.all():
