@@ -336,6 +336,13 @@ def test_media_round_trip(spark):
     assert media.decode_avi(media.encode_avi(df.limit(0))).count() == 0
 
 
+def test_media_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, bytearray(b"a")), (1, bytearray(b"a")), (2, bytearray(b"a")), (None, None), (None, None)], "doc_id long, data binary")
+    got = media.decode_avi(media.encode_avi(df)).collect()
+    assert sorted((x.doc_id or 0) for x in got) == [0, 0, 1, 1, 2]
+    assert len({x.media_sha256 for x in got if x.doc_id}) == 1 and all(x.error is None and x.payload_bytes == 64 for x in got)
+
+
 def huffman(symbols):
     """A table of the given lengths, and its codes: {symbol: bits}."""
     counts, order, code, out = [0] * 16, [], 0, {}

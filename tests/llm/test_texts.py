@@ -43,6 +43,13 @@ def test_token_counts_are_the_librarys(spark):
         assert got[i].over_limit == (got[i].n_tokens > 4096)
 
 
+def test_token_counts_of_repeated_rows_and_of_none(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (1, "c"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens > 0) for r in tokens.count_tokens(df, MODEL).collect()))
+    assert got == [(0, 0, False), (0, 3, True), (1, 1, True), (1, 3, True), (1, 3, True)]
+    assert tokens.count_tokens(df.limit(0), MODEL).count() == 0
+
+
 def test_merges_prefer_rank_then_left():
     rank = {"ab": 1, "bc": 0, "aa": 2}
     assert tokens.merged_count(list("abc"), rank, lambda s: 1) == 2  # a + bc
@@ -167,6 +174,21 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.per_row(same, decontaminate.contamination(same, bench)).count() == 3
 
 
+def test_decontamination_of_long_texts(spark):
+    """Tens of thousands of words, without a hit, with one at the end, made of one word, and of one long word."""
+    r = random.Random(14)
+    vocabulary = [f"v{i}" for i in range(900)]
+    items = [(1, " ".join(r.choices(vocabulary, k=40))), (2, "same " * 13), (3, "y" * 100_000)]
+    long = " ".join(r.choices(vocabulary, k=30_000))
+    texts = [long, f"{long} {items[0][1]}", "same " * 20_000, "y" * 100_000, f"{items[0][1]} {long[:300]}"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs(spark, texts)
+    got = {x.doc_id: tuple(x[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in decontaminate.per_row(df, decontaminate.contamination(df, bench)).collect()}
+    want = brute_contamination(texts, items)
+    assert [got[i] for i in range(len(texts))] == want
+    assert [x[4] for x in want] == [False, False, True, True, True]
+
+
 LINE = "one two three four five six seven eight nine ten"
 
 
@@ -414,6 +436,17 @@ def all_cuts(chars, pieces, logp, other):
     return out
 
 
+def test_pieces_are_found_by_their_hashes():
+    lat = subword_lm.lattice(MODEL)
+    keys = lat.keys[:: 7]
+    hit, k = lat.places(keys)
+    assert hit.all() and (lat.keys[k] == keys).all()
+    ends = np.array([0, 2**64 - 1, int(lat.keys[0]) - 1, int(lat.keys[-1]) + 1], np.uint64)
+    others = np.concatenate([keys + np.uint64(1), keys - np.uint64(1), ends])
+    hit, _ = lat.places(others)
+    assert (hit == np.isin(others, lat.keys)).all()
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_whole_scores_by_brute_force(spark, rounds):
     lat = subword_lm.lattice(MODEL)
